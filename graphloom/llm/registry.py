@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe_codec import decode, encode, ids_text
 from .common import table
 from .token_counts import token_counts
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": op1_bpe,
         "op9_token_counts": op9_token_counts,
     }
 
