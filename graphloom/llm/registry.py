@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import decode, encode, ids_text
 from .common import table
+from .mixing import SQL as MIX_SQL
+from .mixing import mix
 from .token_counts import token_counts
 
 
@@ -17,6 +19,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -24,9 +31,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op4_mix": op4_mix,
         "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mix": MIX_SQL,
+    }
