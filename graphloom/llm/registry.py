@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import decode, encode, ids_text
 from .common import table
+from .language_id import held_out, identify
+from .language_id import train as train_languages
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .token_counts import token_counts
@@ -28,11 +30,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_languages(docs.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text", "lang"))
+    return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 5, 0)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op4_mix": op4_mix,
         "op9_token_counts": op9_token_counts,
+        "op10_language_id": op10_language_id,
     }
 
 
