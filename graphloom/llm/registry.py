@@ -13,6 +13,8 @@ from .language_id import train as train_languages
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .token_counts import token_counts
+from .toxicity import score
+from .toxicity import train as train_toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,16 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2))
+    return train_toxicity(table(spark, sf_dir, "documents"), labels.select("doc_id", "toxic"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -40,6 +52,7 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op4_mix": op4_mix,
+        "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
     }
