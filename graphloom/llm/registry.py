@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .anisotropic_ann import search
 from .bpe_codec import decode, encode, ids_text
 from .common import table
 from .language_id import held_out, identify
 from .language_id import train as train_languages
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
+from .syncmers import fingerprints
 from .token_counts import token_counts
 from .toxicity import score
 from .toxicity import train as train_toxicity
@@ -23,11 +25,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str):
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2))
     return train_toxicity(table(spark, sf_dir, "documents"), labels.select("doc_id", "toxic"))
@@ -51,7 +61,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op3_ann": op3_ann,
         "op4_mix": op4_mix,
+        "op6_syncmers": op6_syncmers,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
