@@ -117,8 +117,7 @@ def best_of_block(quantiser: Quantiser, ids: np.ndarray, rows: np.ndarray, codes
         found = np.arange(len(s))
         if len(s) > rerank:
             cut = np.partition(s, len(s) - rerank)[len(s) - rerank]
-            above = np.flatnonzero(s > cut)
-            found = np.concatenate([above, np.flatnonzero(s == cut)[: rerank - len(above)]])
+            found = np.flatnonzero(s >= cut)  # with all ties, as rows of one code may differ
         found = found[ids[found] != own]
         exact = (rows[found].astype(np.float64) * queries[k].astype(np.float64)).sum(1)
         order = np.lexsort((ids[found], -exact))[:top]
