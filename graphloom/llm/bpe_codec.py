@@ -13,7 +13,6 @@ broadcast.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .bpe import Merger, merger_of_ranks, ranks_of
 from .common import Workspace, ship
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 CACHE_WORDS = 300_000
 
 
@@ -53,21 +52,28 @@ def _joined(planes: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint8) for p in planes], 1).copy().view("<u4").ravel().astype(np.int64)
 
 
-def _split_block(split: list[tuple[object, list[str]]], shards: int):
-    """Of documents as (id, pre-tokens): a message for each shard of words, then (id, packed numbers) for each document."""
-    seen: Counter = Counter()
-    for _, words in split:
-        seen.update(words)
-    code = {w: k for k, (w, _) in enumerate(seen.most_common())}  # small numbers for frequent words
+class _Numbers(dict):
+    """A number for each different word, in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _split_block(numbers: _Numbers, keys: list, docs: list[np.ndarray], shards: int):
+    """A message for each shard of words, then (id, packed numbers) for each document; frequent words get small numbers."""
+    seen = np.bincount(np.concatenate(docs), minlength=len(numbers))
+    place = np.empty(len(numbers), np.int64)
+    place[np.argsort(-seen, kind="stable")] = np.arange(len(numbers))
     owned: dict[int, list[tuple[int, bytes]]] = {}
-    for w, k in code.items():
-        owned.setdefault(zlib.crc32(b := w.encode()) % shards, []).append((k, b))
-    messages = []
+    for word, n in zip(numbers, place.tolist()):
+        owned.setdefault(zlib.crc32(b := word.encode()) % shards, []).append((n, b))
     for shard, pairs in owned.items():
-        codes = np.array([k for k, _ in pairs])
-        messages.append((shard, _pack(*_planes(codes), *_planes(np.array([len(b) for _, b in pairs])), b"".join(b for _, b in pairs))))
-    numbers = ((key, _pack(*_planes(np.fromiter(map(code.__getitem__, words), np.int64, len(words))))) for key, words in split)
-    return messages, numbers
+        pairs.sort()
+        steps = np.diff(np.array([n for n, _ in pairs]), prepend=0)
+        yield shard, None, _pack(*_planes(steps), *_planes(np.array([len(b) for _, b in pairs])), b"".join(b for _, b in pairs))
+    for key, words in zip(keys, docs):
+        yield -1, key, _pack(*_planes(place[words]))
 
 
 class _Encoder:
@@ -119,33 +125,36 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shards = max(64, rows.rdd.getNumPartitions())
-    doc_type = pa.int64() if kind == "bigint" else None
+    if kind != "bigint":
+        raise ValueError("ids of documents must be long")
+    doc_type = pa.int64()
 
     def split(batches):
         pieces = regex.compile(pattern)
         block = TaskContext.get().partitionId() << 32
 
-        def flush(held):
-            messages, numbers = _split_block(held, shards)
-            out = [(block, s, None, p) for s, p in messages]
-            for key, packed in numbers:
-                out.append((block, -1, key, packed))
-            for at in range(0, len(out), 4096):
-                b, s, d, p = zip(*out[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(d, doc_type), pa.array(p, pa.binary())], ["block", "shard", "doc_id", "packed"])
-
-        held, chars = [], 0
+        def flush(numbers, keys, held):
+            out = []
+            for row in _split_block(numbers, keys, held, shards):
+                out.append((block, *row))
+                if len(out) == 1024:
+                    yield _messages(out, doc_type)
+                    out = []
+            yield _messages(out, doc_type)
+
+        numbers, keys, held, chars = _Numbers(), [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for key, text in zip(ids, batch.column(1)):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                held.append((key, pieces.findall(text)))
+                words = pieces.findall(text)
+                keys.append(key)
+                held.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
-                    yield from flush(held)
-                    held, chars, block = [], 0, block + 1
+                    yield from flush(numbers, keys, held)
+                    numbers, keys, held, chars, block = _Numbers(), [], [], 0, block + 1
         if held:
-            yield from flush(held)
+            yield from flush(numbers, keys, held)
 
     def answer(batches):
         encoder = _encoder(file.value)
@@ -157,42 +166,33 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
                 ends = np.cumsum(sizes).tolist()
                 ids = encoder.ids([text[a:b] for a, b in zip([0, *ends[:-1]], ends)])
                 out.append(_pack(*part[:4], *_planes(np.array([len(x) for x in ids])), *_planes(np.concatenate(ids))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(out), doc_type or batch.column(0).type), pa.array(out, pa.binary())], ["block", "shard", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "packed"])
+
+    def reassemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        codes, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for packed in answers.column("packed"):
+            part = _unpack(packed.as_py())
+            codes.append(np.cumsum(_joined(part[:4])))
+            sizes.append(_joined(part[4:8]))
+            ids.append(_joined(part[8:12]).astype(np.int32))
+        n, order, ids = np.concatenate(sizes), np.argsort(np.concatenate(codes)), np.concatenate(ids).astype(np.int32)
+        starts, n = (np.cumsum(n) - n)[order], n[order]
+        out = [ids[ragged(starts, n, _joined(_unpack(packed.as_py())))] for packed in docs.column("packed")]
+        return pa.Table.from_batches([_lists(docs.column("doc_id").to_pylist(), out, doc_type)])
+
+    space = Workspace(spark, "bpe")
+    split_docs = rows.mapInArrow(split, "block long, shard int, doc_id long, packed binary")
+    parted = space.keep_bucketed(split_docs, "split", "block", shards)
+    asked = parted.where("shard >= 0").select("block", "shard", "packed").repartition("shard")
+    answered = asked.mapInArrow(answer, "block long, packed binary")
+    # the split table is bucketed by block, so only the answers move
+    met = parted.where("shard < 0").groupBy("block").cogroup(answered.groupBy("block"))
+    return met.applyInArrow(reassemble, "doc_id long, ids array<int>")
 
-    def reassemble(batches):
-        block, codes, sizes, ids = None, [], [], []
-        table = None
-        for batch in batches:
-            keys, out = [], []
-            for b, s, key, packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if b != block:
-                    block, codes, sizes, ids, table = b, [], [], [], None
-                part = _unpack(packed)
-                if s >= 0:
-                    codes.append(_joined(part[:4]))
-                    sizes.append(_joined(part[4:8]))
-                    ids.append(_joined(part[8:12]))
-                    continue
-                if table is None:
-                    n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-                    order = np.argsort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-                    table = ((np.cumsum(n) - n)[order], n[order], np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-                    codes, sizes, ids = [], [], []
-                keys.append(key)
-                out.append(table[2][ragged(table[0], table[1], _joined(part))])
-                if sum(map(len, out)) > 4_000_000:
-                    yield _lists(keys, out, doc_type)
-                    keys, out = [], []
-            if keys:
-                yield _lists(keys, out, doc_type)
 
-    if kind != "bigint":
-        raise ValueError("ids of documents must be long")
-    parted = Workspace(spark, "bpe").keep(rows.mapInArrow(split, "block long, shard int, doc_id long, packed binary"), "split")
-    asked = parted.where("shard >= 0").select("block", "shard", "packed").repartition("shard")
-    answered = asked.mapInArrow(answer, "block long, shard int, doc_id long, packed binary")
-    met = parted.where("shard < 0").unionByName(answered).repartition("block").sortWithinPartitions("block", F.col("shard").desc())
-    return met.mapInArrow(reassemble, "doc_id long, ids array<int>")
+def _messages(rows: list[tuple], doc_type) -> pa.RecordBatch:
+    b, s, d, p = zip(*rows) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(d, doc_type), pa.array(p, pa.binary())], ["block", "shard", "doc_id", "packed"])
 
 
 def _lists(keys: list, rows: list[np.ndarray], doc_type) -> pa.RecordBatch:
