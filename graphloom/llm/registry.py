@@ -13,6 +13,7 @@ from .language_id import held_out, identify
 from .language_id import train as train_languages
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
+from .ngram_join import join as ngram_join
 from .syncmers import fingerprints
 from .token_counts import token_counts
 from .toxicity import score
@@ -38,6 +39,10 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str):
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2))
     return train_toxicity(table(spark, sf_dir, "documents"), labels.select("doc_id", "toxic"))
@@ -64,6 +69,7 @@ def queries() -> dict:
         "op3_ann": op3_ann,
         "op4_mix": op4_mix,
         "op6_syncmers": op6_syncmers,
+        "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
