@@ -11,6 +11,7 @@ from .bpe_codec import decode, encode, ids_text
 from .common import table
 from .language_id import held_out, identify
 from .language_id import train as train_languages
+from .line_dedup import line_dedup
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .ngram_join import join as ngram_join
@@ -26,6 +27,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_line_dedup": op2_line_dedup,
         "op3_ann": op3_ann,
         "op4_mix": op4_mix,
         "op6_syncmers": op6_syncmers,
