@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .ngram_join import join as ngram_join
+from .suffix_dedup import suffix_dedup
 from .syncmers import fingerprints
 from .token_counts import token_counts
 from .toxicity import score
@@ -41,6 +42,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def queries() -> dict:
         "op2_line_dedup": op2_line_dedup,
         "op3_ann": op3_ann,
         "op4_mix": op4_mix,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_syncmers": op6_syncmers,
         "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
