@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, ship
@@ -140,7 +140,7 @@ def _keyed(depth: int):
                 forest = iter(prefixes(value, n, depth))
                 keys += own
                 trees += [None if k is None else next(forest).view(np.int64) for k in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(trees, pa.list_(pa.int64()))], ["id", "key", "trees"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(trees, pa.list_(pa.int64()))], ["id", "tie", "key", "trees"])
 
     return run
 
@@ -232,7 +232,7 @@ def _verify(similarity: float):
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links for each row: the smallest id of its group (texts joined by links) and its number of links.
+    """doc_id, class_id, n_links, text_hash for each row: the smallest id of its group (texts joined by links) and its number of links.
 
     A link joins two rows whose shingle sets are alike by `similarity`; equal sets have similarity 1, so repeated rows
     and copies link. Texts without words (null, empty, blank) have no links and their own id as class. A null id is
@@ -242,9 +242,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     spark = docs.sparkSession
     ship(spark)
     space = Workspace(spark, "ngram-join")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     depth = depth_for(recall, similarity)
-    keyed = space.keep(rows.mapInArrow(_keyed(depth), "id long, key binary, trees array<long>"), "keyed")
+    keyed = space.keep(rows.mapInArrow(_keyed(depth), "id long, tie long, key binary, trees array<long>"), "keyed")
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     classes = keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(real("id")).alias("first"), F.min("id").alias("some"))
     classes = space.keep(classes, "classes")
@@ -255,7 +255,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     counts = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = near.join(counts, "root").join(classes, near["node"] == classes["key"])
     members = members.select("root", "key", "copies", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("some").alias("id"))
-    members = members.join(rows, "id").select("root", "key", "copies", "blocks", "text")
+    members = members.join(rows.select("id", "text"), "id").select("root", "key", "copies", "blocks", "text")
     sets = members.mapInArrow(_sets, "root binary, key binary, copies long, blocks int, shingles binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "key", "copies", "block", "shingles")
@@ -267,6 +267,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     others = links.groupBy("key").agg(F.sum("n").alias("n"))
     found = classes.join(groups, "key", "left").join(others, "key", "left")
     found = found.select("key", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    return keyed.select("id", "key").join(found, "key", "left").select(
-        real("id").alias("doc_id"), F.when(F.col("key").isNull(), real("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return keyed.select("id", "tie", "key").join(found, "key", "left").select(
+        real("id").alias("doc_id"), F.when(F.col("key").isNull(), real("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("tie").alias("text_hash")
     )
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each group stays: that with the smallest id. Of rows that repeat id and text one stays."""
+    found = join(docs, similarity, recall, id_col, text_col)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_hash", F.xxhash64(text_col))
+    kept = own.join(first, ["_id", "_hash"], "left_semi")
+    return kept.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))).where("_k = 1").select(*docs.columns)
