@@ -261,7 +261,6 @@ def related_to_edges(spark, sf):
 # ---- analytics over similar vectors
 
 GRAPH_SQL = f"{SIMILAR_SQL}, links as (select a, b from alike union all select b, a from alike)"
-COMPONENT_SQL = GRAPH_SQL + """, reach as (select id, min(r) as component from reach_ group by id)"""
 REACH_SQL = "with recursive " + GRAPH_SQL + ", reach_ as (select vec_id as id, vec_id as r from embeddings union select l.b as id, reach_.r from reach_ join links l on l.a = reach_.id), reach as (select id, min(r) as component from reach_ group by id)"
 
 
@@ -284,11 +283,6 @@ def component_sizes(spark, sf):
     return A.components(*graph(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
-BETWEEN_SQL = """with recursive """ + GRAPH_SQL + """,
-bfs as (select vec_id as s, vec_id as v, 0 as d from embeddings union select bfs.s, l.b, bfs.d + 1 from bfs join links l on l.a = bfs.v where bfs.d < 40)
-select 1"""
-
-
 @query()
 def betweenness_round6(spark, sf):
     return A.betweenness(*graph(spark, sf)).withColumn("score", F.round("score", 6))
@@ -711,6 +705,30 @@ def json_repair(spark, sf):
     return found.select("event_id", F.get_json_object("j", "$.n").cast("long").alias("n"), F.get_json_object("j", "$.type").alias("kind"))
 
 
+# ---- incremental runs
+
+
+@query("select event_type, time_bucket(interval '1 day', ts) as day, count(*) as n from events group by 1, 2")
+def stream_tumbling_counts(spark, sf):
+    from ..streaming import jobs
+
+    return jobs.event_counts(spark, sf).select("event_type", "day", "n")
+
+
+@query("select conv_id, turn, case when length(n) > 70 then substr(n, 1, 70) || '...' else n end as name from (select conv_id, turn, trim(substr(text, 1, 80), chr(32) || chr(10)) as n from conversations where role = 'assistant' and length(text) > 100)")
+def stream_message_patterns(spark, sf):
+    from ..streaming import jobs
+
+    return jobs.message_patterns(spark, sf).select("conv_id", "turn", "name")
+
+
+@query("select distinct conv_id from conversations")
+def stream_dedup_available_now(spark, sf):
+    from ..streaming import jobs
+
+    return jobs.first_seen(spark, sf).select("conv_id")
+
+
 # ---- validation and writes
 
 VALID_SQL = """errors as (select id, list_filter([case when type = 'Decision' and (description is null or length(description) not between 10 and 1000) then 'description' end,
