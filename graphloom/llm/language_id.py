@@ -18,6 +18,8 @@ from .common import ship
 BUCKETS = 1 << 13
 SIZE = 16
 TRAIN_PER_LANG = 800
+#: Languages learned at most: the most frequent.
+MAX_LANGS = 64
 CHUNK_CHARS = 1_000_000
 
 _letters: list[np.ndarray] = []
@@ -156,9 +158,12 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     """docs: doc_id, text, lang, of which held-out rows are already gone."""
     ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS)
+    known = known.where(F.col("lang").isin([r.lang for r in frequent.collect()]))
     first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     picked = known.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_lang)
-    sample = known.join(picked, known["doc_id"].eqNullSafe(picked["_id"]) & (known["lang"] == picked["_lang"]), "left_semi")
+    # at most per_lang * MAX_LANGS ids
+    sample = known.join(F.broadcast(picked), known["doc_id"].eqNullSafe(picked["_id"]) & (known["lang"] == picked["_lang"]), "left_semi")
     rows = sample.select("lang", "text").mapInArrow(_features, "lang string, buckets array<int>, shares array<float>")
     got = sorted(((r.lang, r.buckets, r.shares) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1][:50], len(r[1])))
     return fit([(a, np.array(b, np.int32), np.array(c, np.float32)) for a, b, c in got])
