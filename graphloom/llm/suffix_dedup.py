@@ -167,6 +167,8 @@ def joined(starts: list[int]) -> list[tuple[int, int]]:
 
 def _find_runs(batches):
     for batch in batches:
+        if not batch.num_rows:
+            continue
         ids, ties = batch.column(0), batch.column(1)
         take, found = [], []
         for k, text in enumerate(batch.column(2)):
