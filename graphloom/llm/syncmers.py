@@ -65,7 +65,7 @@ def successors(keys: DataFrame, space: Workspace) -> DataFrame:
     ranges = space.keep(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("part").orderBy(*order)
     inner = ranges.withColumn("_next", F.lead(F.struct("id", "tie")).over(within))
-    firsts = ranges.groupBy("part").agg(F.min(F.struct((-F.col("id") - 1).alias("order"), "tie", "id")).alias("first"))
+    firsts = ranges.groupBy("part").agg(F.min(F.struct(F.bitwise_not("id").alias("order"), "tie", "id")).alias("first"))
     over = Window.orderBy("part")
     everything = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(over), F.first("first").over(everything)).alias("_first"))
@@ -83,18 +83,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are left out.
     """
     space = Workspace(docs.sparkSession, "syncmers")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("n", F.char_length("text").cast("long"))
-    order = successors(rows.select("id", "tie", "n").distinct(), space)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("tie"), "text")  # the same columns on both sides, so texts are shuffled once
+    order = successors(rows.select("id", "tie", F.char_length("text").cast("long").alias("n")).distinct(), space)
     heads = order.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    heads = heads.join(rows.select("id", "tie", "text"), ["id", "tie"]).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("id").alias("next_id"), F.col("tie").alias("next_tie"))
-    both = rows.join(heads, ["id", "tie"])
+    heads = heads.join(rows, ["id", "tie"]).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("id").alias("next_id"), F.col("tie").alias("next_tie"))
+    heads = heads.dropDuplicates(["id", "tie"])  # a next document that repeats gives one head
+    both = rows.join(heads, ["id", "tie"]).withColumn("n", F.char_length("text").cast("long"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), F.col("head"))
     both = with_sketch(both.withColumn("edited", edited), "text", "sketch")
     both = with_sketch(both, "edited", "edited_sketch")
-    made = both.select("doc_id", "id", "tie", "next_id", "next_tie", F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "edited_sketch")
+    made = both.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "id", "tie", "next_id", "next_tie", F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "edited_sketch")
     made = space.keep(made, "sketches")
-    after = made.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("sketch").alias("next_sketch")).distinct()
+    after = made.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("sketch").alias("next_sketch")).dropDuplicates(["next_id", "next_tie"])  # repeated rows have one sketch
     return made.join(after, ["next_id", "next_tie"]).select(
         "doc_id", "n_chars", "edited_sha256", hex_of(F.col("sketch")).alias("fingerprint"), hex_of(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
