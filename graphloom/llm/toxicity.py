@@ -26,7 +26,7 @@ from .common import ship
 PER_CLASS = 5_000
 TERMS = 3_000
 WINDOW = 6
-CACHE = 300_000
+CACHE, STATES = 120_000, 30_000
 #: Known terms, for tables without labels; labels add others.
 SEED_TERMS = ("idiot", "moron", "loser", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting", "clown")
 #: Words beside which a term is reported, not used.
@@ -139,6 +139,11 @@ class Model:
             self.stem_sizes = sorted({len(s) for s in self.stems})
             self.cache: dict[str, tuple[int, float]] = {}
 
+    def rest(self) -> None:
+        """Forgets what was made while texts were read; a worker may live on with other models."""
+        for name in ("automaton", "cache"):
+            self.__dict__.pop(name, None)
+
     def kind(self, word: str) -> tuple[int, float]:
         """0: no hit; 1: a term; 2: begins with a learned beginning; 3: a misspelled term; and its weight."""
         hit = self.automaton.match(word)
@@ -163,7 +168,7 @@ class Model:
             if got is None:
                 if len(cache) > CACHE:
                     cache.clear()
-                if len(self.automaton.states) > CACHE:
+                if len(self.automaton.states) > STATES:
                     self.automaton.reset()
                 got = cache[w] = self.kind(w)
             if got[0]:
@@ -182,8 +187,9 @@ class Model:
                 n += 1
         return [*map(math.log1p, direct), math.log1p(quoted), most, math.log1p(100 * n / len(words)), float(most >= 3)]
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t or "") for t in texts]).reshape(-1, FEATURES)
+    def scores(self, texts) -> np.ndarray:
+        """texts: strings or Arrow scalars, or None; one at a time."""
+        x = np.array([self.features((t.as_py() if isinstance(t, pa.Scalar) else t) or "") for t in texts]).reshape(-1, FEATURES)
         return 1 / (1 + np.exp(-np.clip(x @ self.coef[:-1] + self.coef[-1], -30, 30)))
 
 
@@ -226,6 +232,9 @@ def _keys(batches):
             toxic += [y] * len(found)
             fold += [f] * len(found)
             key += found
+            if len(key) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(key, pa.string())], ["toxic", "fold", "key"])
+                toxic, fold, key = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(key, pa.string())], ["toxic", "fold", "key"])
 
 
@@ -270,8 +279,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     def features(batches):
         for batch in batches:
-            x = [halves.value[f].features(t or "") for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            x = [halves.value[f].features(t.as_py() or "") for f, t in zip(batch.column(1).to_pylist(), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+        for model in halves.value:
+            model.rest()
 
     rows = sample.mapInArrow(features, "toxic int, x array<double>").collect()  # at most 2 * per_class short rows
     rows.sort(key=lambda r: (r.toxic, r.x))
@@ -313,8 +324,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            s = shared.value.scores(batch.column(1).to_pylist())
+            s = shared.value.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+        shared.value.rest()
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -328,7 +340,8 @@ def score_column_kept(docs: DataFrame, model: Model, threshold: float = 0.3, tex
 
     def run(batches):
         for batch in batches:
-            s = shared.value.scores(batch.column(at).to_pylist())
+            s = shared.value.scores(batch.column(at))
             yield batch.filter(pa.array(s < threshold))
+        shared.value.rest()
 
     return docs.mapInArrow(run, docs.schema)
