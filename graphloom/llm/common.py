@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -34,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Working tables of one run, as Parquet in the shared folder.
 
@@ -51,18 +55,28 @@ class Workspace:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(at)
-        self.spark.sparkContext._jvm.System.gc()
+        self._written(lambda: df.write.option("compression", "zstd").parquet(at))
         return self.spark.read.schema(df.schema).parquet(at)
 
     def keep_bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
         """As keep, but rows lie by buckets of a column: what needs them together by it reads them so, without a shuffle."""
         known = f"{name}_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("path", f"{self.path}/{known}").bucketBy(buckets, column).saveAsTable(known)
+        self._written(lambda: df.write.option("compression", "zstd").option("path", f"{self.path}/{known}").bucketBy(buckets, column).saveAsTable(known))
         self.tables.append(known)
-        self.spark.sparkContext._jvm.System.gc()
         return self.spark.table(known)
 
+    def _written(self, write) -> None:
+        """Writes, and has the shuffle files of that write deleted, which nothing reads again."""
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            write()
+        finally:
+            conf.set(_CLEANUP, before)
+        gc.collect()  # Python holds the JVM's plans, and these their shuffles
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         try:
             for known in self.tables:
