@@ -95,6 +95,19 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_by_every_character(spark):
+    every = lambda x: {x[k : k + 12] for k in range(max(1, len(x) - 11))}
+    long = prose(40, 16)
+    lines = ["2024-01-01T01:00:05", "2024-01-01T02:30:05", "transaction-0001", "transaction-0002", "https://example.org/a/1", "https://example.org/b/1", "中文" * 9 + "一二三", "中文" * 9 + "四五六", "short", "shorts", "😀" * 11 + "a", "😀" * 11 + "b"]
+    lines += [long, long[:50] + "#" + long[51:], long + "x", prose(41, 16)]
+    got = [r.text for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    want = []
+    for x in lines:
+        like = [y for y in lines[: len(want)] if len(every(x) & every(y)) >= 0.8 * len(every(x) | every(y))]
+        want.append("" if like else x)
+    assert got == want and want.count("") == 2
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(700, 7)), np.repeat(rng.normal(size=(1, 7)), 40, 0)]).astype(np.float32)
