@@ -78,6 +78,25 @@ def test_best_match(spark):
     assert [(r.new_id, r.known_id) for r in dedup.best_match(new, known, "id", "text").collect()] == [(1, 10)]
 
 
+def test_best_match_against_all_pairs(spark):
+    import difflib
+    import random
+
+    r = random.Random(3)
+    words = [[r.choice("lorem ipsum dolor sit amet consectetur adipiscing elit sed do".split()) for _ in range(r.randint(2, 90))] for _ in range(12)]
+    texts = ["hello world", "hello worlds", "one middle end", "one muddle end", "Hello   World", "", "", None, "a b" + " " * 40 + "c", "a b c d"]
+    texts += [" ".join(w) for w in words] + [" ".join(x[:-1] + "q" if k % 2 else x for k, x in enumerate(w)) for w in words]
+    rows = list(enumerate(texts))
+    norm = lambda t: " ".join(t.lower().split())
+    want = []
+    for i, x in rows:
+        ratios = [(-difflib.SequenceMatcher(None, norm(x), norm(y)).ratio(), j) for j, y in rows if j != i and x is not None and y is not None]
+        if ratios and -min(ratios)[0] >= 0.85:
+            want.append((i, min(ratios)[1], -min(ratios)[0]))
+    df = spark.createDataFrame(rows, "id int, text string")
+    assert sorted(map(tuple, dedup.best_match(df, df, "id", "text").collect())) == want and {0, 1, 2, 3} <= {w[0] for w in want}
+
+
 def test_tools(spark, tmp_path):
     kg = KnowledgeGraph(spark, f"file://{tmp_path}")
     assert kg.query_decisions("anything").count() == 0
