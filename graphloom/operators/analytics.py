@@ -110,8 +110,8 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> D
 
 def _local(nodes: DataFrame, edges: DataFrame, solve) -> DataFrame:
     pairs = undirected(edges)
-    if pairs.count() > LOCAL_EDGES:
-        return label_propagation(nodes, edges)
+    if (n := pairs.count()) > LOCAL_EDGES:
+        raise ValueError(f"{n} edges: this algorithm runs in one process, on at most {LOCAL_EDGES}; label_propagation has no such bound but finds other communities")
     ids = nodes.select("id").distinct().orderBy("id").toPandas()["id"].tolist()
     number = {x: k for k, x in enumerate(ids)}
     found = pairs.orderBy("u", "v").toPandas()
@@ -123,7 +123,7 @@ def _local(nodes: DataFrame, edges: DataFrame, solve) -> DataFrame:
 def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, community (its smallest id): joins the two communities that raise modularity most, ties to the smallest ids, until none does.
 
-    Inherently sequential, so done in one process up to LOCAL_EDGES edges; larger graphs get label propagation.
+    Inherently sequential, so done in one process; more than LOCAL_EDGES edges are an error.
     """
 
     def solve(n, pairs):
