@@ -483,7 +483,7 @@ def merge_strategy(spark, sf):
 
 @query()
 def fuzzy_difflib(spark, sf):
-    d = docs(spark, sf).where("n_chars <= 400")
+    d = docs(spark, sf)
     return D.best_match(d, d, "doc_id", "text").withColumn("ratio", F.round("ratio", 6))
 
 

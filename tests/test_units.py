@@ -97,6 +97,15 @@ def test_best_match_against_all_pairs(spark):
     assert sorted(map(tuple, dedup.best_match(df, df, "id", "text").collect())) == want and {0, 1, 2, 3} <= {w[0] for w in want}
 
 
+def test_fuzzy_query_reads_all_documents(spark, tmp_path):
+    from graphloom.plans import queries as plans
+
+    long = " ".join(f"word{k * k % 97}" for k in range(120))
+    rows = [(1, long, 700), (2, long + " end", 704), (3, "short text here", 15), (4, "short text heré", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.new_id for r in plans.queries()["fuzzy_difflib"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
 def test_tools(spark, tmp_path):
     kg = KnowledgeGraph(spark, f"file://{tmp_path}")
     assert kg.query_decisions("anything").count() == 0
