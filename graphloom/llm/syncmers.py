@@ -1,12 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text is read as tokens: runs without blanks, cut after 16 characters. A k-mer of five tokens is a closed syncmer
-if the smallest of its inner pairs of tokens (by hash) stands at its beginning or its end. Whether a k-mer is chosen
-depends on nothing around it, so texts that share a passage choose the same anchors in it. The fingerprint keeps
-the SIZE smallest hashes of a text's different syncmers, and the likeness of two fingerprints is the share of
-common hashes among the SIZE smallest of both: an estimate of the Jaccard similarity of the syncmer sets.
-
-K-mers are of tokens rather than characters, so arrays are as long as a text has words.
+A k-mer of eight characters is a closed syncmer if the smallest of its four inner s-mers of five characters (by hash)
+stands at its beginning or its end. Whether a k-mer is chosen depends on nothing around it, so texts that share a
+passage choose the same anchors in it. Where none is chosen, all k-mers of the text count; a text under eight
+characters is one k-mer. The fingerprint keeps the SIZE smallest hashes of a text's different syncmers, and the likeness of
+two fingerprints is the share of common hashes among the SIZE smallest of both: an estimate of the Jaccard
+similarity of the syncmer sets.
 """
 
 from __future__ import annotations
@@ -16,32 +15,31 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-K, SIZE = 5, 128
-TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+K, S, SIZE = 8, 5, 128
+SMER = rf"(?s)(?=(.{{{S}}}))."
 _NO_ID = -(1 << 63)
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """df and column out: the sorted hashes (array of int, at most SIZE) of the text's closed syncmers.
 
-    A text with one to four tokens is one k-mer; one without tokens has an empty array. Steps are columns of their
-    own, so each is computed once.
+    An empty text has an empty array, and no other. Steps are columns of their own, so each is computed once.
     """
-    h, m, p = (f"_{out}_{x}" for x in "hmp")
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    df = df.withColumn(h, F.transform(tokens, lambda t: F.xxhash64(t)))
-    n = F.greatest(F.size(h) - 1, F.lit(0))
-    # m: hashes of inner pairs; p: the smaller of two neighbouring pairs
-    df = df.withColumn(m, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda x, y: F.xxhash64(x, y)))
-    n = F.greatest(F.size(m) - 1, F.lit(0))
-    df = df.withColumn(p, F.zip_with(F.slice(m, F.lit(1), n), F.slice(m, F.lit(2), n), lambda x, y: F.least(x, y)))
-    n = F.greatest(F.size(m) - (K - 2), F.lit(0))  # k-mers; each has four inner pairs
-    rows = F.arrays_zip(F.slice(m, F.lit(1), n).alias("a"), F.slice(p, F.lit(1), n).alias("low"), F.slice(p, F.lit(3), n).alias("high"), F.slice(m, F.lit(3), n).alias("c"), F.slice(m, F.lit(4), n).alias("d"))
-    closed = F.filter(rows, lambda r: (F.least(r["a"], r["d"]) <= F.least(r["low"], r["high"])))
-    chosen = F.transform(closed, lambda r: F.shiftright(F.xxhash64(r["a"], r["c"], r["d"]), 32).cast("int"))
-    whole = F.array(F.shiftright(F.xxhash64(F.col(h)), 32).cast("int"))
-    found = F.when(F.size(h) >= K, chosen).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(found)), 1, SIZE)).drop(h, m, p)
+    h, p = (f"_{out}_{x}" for x in "hp")
+    smers = F.regexp_extract_all(F.col(text), F.lit(SMER), F.lit(1))
+    df = df.withColumn(h, F.transform(smers, lambda t: F.xxhash64(t)))
+    # p: for each k-mer its first and last s-mer, and the two between
+    n = F.greatest(F.size(h) - (K - S), F.lit(0))
+    a, b, c, d = (F.slice(h, F.lit(k + 1), n).alias("abcd"[k]) for k in range(K - S + 1))
+    df = df.withColumn(p, F.arrays_zip(a, b, c, d))
+    closed = F.filter(F.col(p), lambda r: F.least(r["a"], r["d"]) <= F.least(r["b"], r["c"]))
+    df = df.withColumn(out, closed)
+    # a k-mer of eight characters is told by its first and last five
+    kmers = F.when(F.size(out) > 0, F.col(out)).otherwise(F.col(p))
+    chosen = F.transform(kmers, lambda r: F.shiftright(F.xxhash64(r["a"], r["d"]), 32).cast("int"))
+    whole = F.array(F.shiftright(F.xxhash64(F.col(text)), 32).cast("int"))
+    found = F.when(F.size(p) > 0, chosen).when(F.col(text) != "", whole).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(found)), 1, SIZE)).drop(h, p)
 
 
 def likeness(a: Column, b: Column) -> Column:

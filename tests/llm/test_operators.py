@@ -206,6 +206,17 @@ def test_fingerprints(docs, empty):
     assert syncmers.fingerprints(empty).count() == 0
 
 
+def test_short_texts_have_fingerprints(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(k % 6 + 1))) for k in range(120)] + [(120, "x"), (121, " "), (122, "")]
+    text = dict(rows)
+    got = {x.doc_id: x for x in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in got if not got[k].fingerprint] == [122]
+    assert all(got[k].near_next < 0.2 for k in range(1, 120)) and got[122].near_next == 0.0
+    long = [k for k in range(1, 120) if len(text[k]) >= 24]
+    assert len(long) > 40 and sum(got[k].near_edited > 0 for k in long) > 0.9 * len(long) and all(got[k].near_edited < 1 for k in long)
+
+
 def sets():
     out = []
     for i, t in texts():
