@@ -2,9 +2,10 @@
 
 1. A map over partitions hashes each text's shingles in numpy and makes a key of the whole set and a MinHash
    signature. Texts with equal sets are one class from here on.
-2. LSH forest: each of TREES parts of a signature is a path in a prefix trie. Prefixes are shortened from the
-   full depth until the recall expected at the threshold reaches the target; classes that share a prefix of that
-   depth in any tree are candidates. Buckets become stars around their smallest class, and stars components.
+2. Fixed LSH banding, in place of an LSH forest: each of TREES parts of a signature gives one key, the hash of its
+   first values. Their number is one constant, the largest at which the recall expected at the threshold reaches the
+   target; no prefix is shortened by rows. Classes that share a key are candidates. Buckets become stars around
+   their smallest class, and stars components.
 3. The shingles of each class in a component are made again and meet in pairs of blocks of at most BLOCK classes;
    every pair is verified exactly in numpy. Blocks send on counts and a spanning forest, never pairs.
 4. Verified links are joined to components; counts are summed.
