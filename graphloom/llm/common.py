@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for working values that df has not, in any case."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever they run with the same installation."""
     env = spark.sparkContext.environment
