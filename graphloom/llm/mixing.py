@@ -3,11 +3,12 @@
 Each source's target number of words is its share by weight, stopped at a multiple of what the source holds (the
 excess goes to the others by weight). Every document of a source is taken as often as the target goes
 into the source's words; for what remains, documents are ranked by their random odds over their inclusion
-odds (Pareto order sampling) and the first are taken until the words are reached. Three further documents, each the
-largest that still fits, close the gap.
+odds (Pareto order sampling) and taken in that order; one that no longer fits into the words left is passed over, and the
+order goes on with what is left, to its end. So a source falls short by less than its smallest document not taken.
 
-Prefix sums never gather a source in one task: words are summed over 16,384 classes of rank first, and
-only the class in which the target falls is ordered row by row.
+This goes in rounds, each up to the next document that does not fit; documents longer than what is left are passed
+over at once. Prefix sums never gather a source in one task: words are summed over 16,384 classes of rank first, and
+only the class in which a round ends is ordered row by row.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 CLASSES = 1 << 14
-#: Documents that close the gap.
-FILLS = 3
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -73,50 +72,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
         _with(units, totals.where("odds > 0"))
         .withColumn("q", (u / (F.lit(1.0) - u)) / F.col("odds"))
         .withColumn("class", F.floor(F.col("q") / (F.lit(1.0) + F.col("q")) * CLASSES).cast("int"))
-        .select("source", "doc_id", "size", "mass", "q", "class", "rest")
+        .select("source", "class", "mass", F.struct("q", "doc_id", "size").alias("key"))
     )
     ranked = space.keep(ranked, "ranked")
-    by_class = ranked.groupBy("source", "class", "rest").agg(F.sum("mass").alias("mass"))
-    run = F.sum("mass").over(Window.partitionBy("source").orderBy("class"))
-    cut = by_class.withColumn("upto", run).where(F.col("upto") > F.col("rest"))
-    cut = cut.groupBy("source").agg(F.min("class").alias("cut"), F.min_by(F.col("upto") - F.col("mass"), "class").alias("below"))
-    inside = _with(ranked, cut).where(F.col("class") == F.col("cut"))
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
-    inside = inside.withColumn("upto", F.col("below") + F.sum("mass").over(order)).where(F.col("upto") <= F.col("rest"))
-    key = F.struct("q", "doc_id", "size")
-    last = inside.groupBy("source").agg(F.max(key).alias("last"), F.max("upto").alias("reached"))
-    ends = _with(cut, last, "left").withColumn("reached", F.coalesce("reached", "below"))
-    # where the whole order is not enough to pass the target, all of it is taken
-    plan = space.keep(_with(totals, ends.select("source", "cut", "last", "reached"), "left"), "cuts")
-    plan = plan.withColumn("fills", F.array().cast("array<struct<doc_id:bigint,size:bigint>>"))
-    out = (F.col("class") > F.col("cut")) | ((F.col("class") == F.col("cut")) & (F.col("last").isNull() | (key > F.col("last"))))
-    for n in range(FILLS):
-        left = _with(ranked, plan.where("cut is not null").select("source", "cut", "last", "reached", "fills"))
-        fits = left.where(out & (F.col("mass") <= F.col("rest") - F.col("reached")) & (F.col("mass") > 0) & ~F.array_contains("fills", F.struct("doc_id", "size")))
-        fill = fits.groupBy("source").agg(F.min(F.struct((-F.col("mass")).alias("order"), F.col("q"), F.col("doc_id"), F.col("size"))).alias("fill"))
-        plan = _with(plan, fill, "left").withColumn("reached", F.col("reached") - F.coalesce(F.col("fill.order"), F.lit(0)))
-        plan = plan.withColumn("fills", F.when(F.col("fill").isNotNull(), F.array_append("fills", F.struct("fill.doc_id", "fill.size"))).otherwise(F.col("fills"))).drop("fill")
-        plan = space.keep(plan, f"plan{n}")
+    none = F.lit(None).cast("struct<q:double,doc_id:bigint,size:bigint>")
+    plan = totals.withColumn("left", F.floor(F.col("rest") + 1e-6)).withColumn("at", none).withColumn("open", F.col("odds") > 0)
+    plan = space.keep(plan.withColumn("rounds", F.array().cast("array<struct<after:struct<q:double,doc_id:bigint,size:bigint>,before:struct<q:double,doc_id:bigint,size:bigint>,most:bigint>>")), "plan")
+    while plan.where("open").limit(1).count():
+        live = _with(ranked, plan.where("open").select("source", "left", "at")).where((F.col("at").isNull() | (F.col("key") > F.col("at"))) & (F.col("key.size") <= F.col("left")))
+        by_class = live.groupBy("source", "class", "left").agg(F.sum("mass").alias("mass")).withColumn("upto", F.sum("mass").over(Window.partitionBy("source").orderBy("class")))
+        cut = by_class.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("class", (F.col("upto") - F.col("mass")).alias("below"))).alias("cut"))
+        cut = space.keep(cut.select("source", F.col("cut.class").alias("last"), "cut.below"), "cut")
+        inside = _with(live, cut).where(F.col("class") == F.col("last"))
+        inside = inside.withColumn("upto", F.col("below") + F.sum("mass").over(Window.partitionBy("source").orderBy("key")))
+        ends = inside.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("key", (F.col("upto") - F.col("mass")).alias("reached"))).alias("end"))
+        # a source without an end takes all that is left in its order
+        plan = _with(plan, ends, "left").withColumn("rounds", F.when(F.col("open"), F.array_append("rounds", F.struct(F.col("at").alias("after"), F.col("end.key").alias("before"), F.col("left").alias("most")))).otherwise(F.col("rounds")))
+        plan = plan.withColumn("at", F.col("end.key")).withColumn("left", F.col("left") - F.coalesce(F.col("end.reached"), F.lit(0)))
+        plan = space.keep(plan.withColumn("open", F.col("open") & F.col("at").isNotNull() & (F.col("left") > 0)).drop("end"), "plan")
     rows = copies_of(slim, plan, F.col("doc_id"), F.col("size"), seed)
+    rows = _with(rows, totals.select("source", "source_size", "target"), "left")
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     return rows, plan
 
 
-def copies_of(rows: DataFrame, plan: DataFrame, doc_id: Column, size: Column, seed: str) -> DataFrame:
-    """rows (with a column source) joined with the plan, and copies: how often the mix takes each."""
+def copies_of(rows: DataFrame, plan: DataFrame, doc_id: Column, size: Column, seed: str, out: str = "copies", source_col: str = "source") -> DataFrame:
+    """rows and a column `out`: how often the mix takes each. Other columns of rows stay, whatever their names."""
+    source, taken, key = fresh(rows, "source", "plan", "key")
+    packed = plan.select(F.col("source").alias(source), F.struct("whole", "odds", "rounds").alias(taken))
+    joined = rows.join(packed, rows[source_col].eqNullSafe(packed[source]), "left")
     u = uniform(doc_id, seed)
-    joined = _with(rows, plan, "left")
-    q = (u / (F.lit(1.0) - u)) / F.col("odds")
-    at = F.floor(q / (F.lit(1.0) + q) * CLASSES).cast("int")
-    key = F.struct(q.alias("q"), doc_id.alias("doc_id"), size.alias("size"))
-    ranked = F.col("cut").isNull() | (at < F.col("cut")) | ((at == F.col("cut")) & F.coalesce(key <= F.col("last"), F.lit(False)))
-    filled = F.coalesce(F.array_contains("fills", F.struct(doc_id.alias("doc_id"), size.alias("size"))), F.lit(False))
-    extra = F.when(F.col("odds") > 0, (ranked | filled).cast("long")).otherwise(F.lit(0))
-    return joined.withColumn("copies", F.col("whole").cast("long") + extra)
+    joined = joined.withColumn(key, F.struct(((u / (F.lit(1.0) - u)) / F.when(F.col(f"{taken}.odds") > 0, F.col(f"{taken}.odds"))).alias("q"), doc_id.cast("long").alias("doc_id"), size.cast("long").alias("size")))
+    k = F.col(key)
+    inside = F.exists(f"{taken}.rounds", lambda r: (r["after"].isNull() | (k > r["after"])) & (r["before"].isNull() | (k < r["before"])) & (k["size"] <= r["most"]))
+    extra = F.when(F.col(f"{taken}.odds") > 0, inside.cast("long")).otherwise(F.lit(0))
+    return joined.withColumn(out, F.col(f"{taken}.whole").cast("long") + extra).drop(source, taken, key)
 
 
 def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Joined on source, nulls alike; right has one row for each source."""
+    """Joined on source, nulls alike; right has one row for each source. For working tables, whose columns differ but for source."""
     right = right.withColumnRenamed("source", "_source")
     shared = [c for c in right.columns if c in left.columns]
     return left.join(right.drop(*shared), left["source"].eqNullSafe(right["_source"]), how).drop("_source")
@@ -124,7 +118,7 @@ def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 #: The same in SQL, for documents with columns doc_id, text, source.
 SQL = r"""
-with slim as (
+with recursive slim as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 ranked as (
     select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as r from slim group by source),
@@ -145,32 +139,15 @@ orders as (
     select u.*, p.rest, ((('0x' || substr(md5('mix-1|' || coalesce(u.doc_id::varchar, 'null')), 1, 13))::bigint)::double + 0.5::double) / 4503599627370496.0::double as x, p.odds
     from units u join plan p on u.source is not distinct from p.source where p.odds > 0),
 q as (select *, (x / (1.0::double - x)) / odds as q from orders),
-runs as (select *, (sum(mass) over (partition by source order by q, doc_id, size))::bigint as upto from q),
-reached as (select source, coalesce(max(upto) filter (where upto <= rest), 0) as reached from runs group by source),
-fill1 as (
-    select source, doc_id, size, mass from (
-        select r.*, row_number() over (partition by r.source order by mass desc, q, r.doc_id, r.size) as n
-        from runs r join reached e on r.source is not distinct from e.source
-        where upto > rest and mass > 0 and mass <= rest - e.reached) where n = 1),
-reached2 as (select e.source, e.reached + coalesce(f.mass, 0) as reached from reached e left join fill1 f on f.source is not distinct from e.source),
-fill2 as (
-    select source, doc_id, size, mass from (
-        select r.*, row_number() over (partition by r.source order by mass desc, q, r.doc_id, r.size) as n
-        from runs r join reached2 e on r.source is not distinct from e.source
-        where upto > rest and mass > 0 and mass <= rest - e.reached
-            and not exists (select 1 from fill1 f where f.source is not distinct from r.source and f.doc_id is not distinct from r.doc_id and f.size = r.size)) where n = 1),
-reached3 as (select e.source, e.reached + coalesce(f.mass, 0) as reached from reached2 e left join fill2 f on f.source is not distinct from e.source),
-fill3 as (
-    select source, doc_id, size, mass from (
-        select r.*, row_number() over (partition by r.source order by mass desc, q, r.doc_id, r.size) as n
-        from runs r join reached3 e on r.source is not distinct from e.source
-        where upto > rest and mass > 0 and mass <= rest - e.reached
-            and not exists (select 1 from fill1 f where f.source is not distinct from r.source and f.doc_id is not distinct from r.doc_id and f.size = r.size)
-            and not exists (select 1 from fill2 f where f.source is not distinct from r.source and f.doc_id is not distinct from r.doc_id and f.size = r.size)) where n = 1),
-fill as (select * from fill1 union all select * from fill2 union all select * from fill3)
+runs as (select *, row_number() over (partition by source order by q, doc_id, size) as n from q),
+walk(source, n, room, taken) as (
+    select source, 0::bigint, floor(rest + 1e-6)::bigint, false from plan where odds > 0
+    union all
+    select w.source, r.n, case when r.mass <= w.room then w.room - r.mass else w.room end, r.mass <= w.room
+    from walk w join runs r on r.source is not distinct from w.source and r.n = w.n + 1),
+extra as (select r.source, r.doc_id, r.size from walk w join runs r on r.source is not distinct from w.source and r.n = w.n where w.taken)
 select s.doc_id, s.size, p.source_size, p.target,
-    (s.size * (p.whole + case when p.odds > 0 and (r.upto <= r.rest or f.size is not null) then 1 else 0 end))::bigint as taken
+    (s.size * (p.whole + case when e.size is not null then 1 else 0 end))::bigint as taken
 from slim s join plan p on s.source is not distinct from p.source
-left join runs r on s.source is not distinct from r.source and s.doc_id is not distinct from r.doc_id and s.size = r.size
-left join fill f on s.source is not distinct from f.source and s.doc_id is not distinct from f.doc_id and s.size = f.size
+left join extra e on s.source is not distinct from e.source and s.doc_id is not distinct from e.doc_id and s.size = e.size
 """
