@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe_codec import decode, encode, ids_text
-from graphloom.llm.common import Workspace, table
+from graphloom.llm.common import Workspace, fresh, table
 from graphloom.llm.language_id import held_out
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.mixing import WORD, copies_of, mix
@@ -44,8 +44,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     _, plan = mix(docs, seed=SEED)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    taken = copies_of(docs, plan, F.col("doc_id"), size, SEED)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies, copy = fresh(docs, "copies", "copy")
+    taken = copies_of(docs, plan, F.col("doc_id"), size, SEED, copies)
+    return taken.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(copies, copy)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
