@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, ship
+from .common import Workspace, fresh, ship
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -233,7 +233,9 @@ def _verify(similarity: float):
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, text_hash for each row: the smallest id of its group (texts joined by links) and its number of links.
+    """doc_id, class_id, n_links, text_hash, class_key for each row: the smallest id of its group (texts joined by links) and its number of links.
+
+    class_key tells groups apart whatever their ids; it is null for texts without words.
 
     A link joins two rows whose shingle sets are alike by `similarity`; equal sets have similarity 1, so repeated rows
     and copies link. Texts without words (null, empty, blank) have no links and their own id as class. A null id is
@@ -247,7 +249,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     depth = depth_for(recall, similarity)
     keyed = space.keep(rows.mapInArrow(_keyed(depth), "id long, tie long, key binary, trees array<long>"), "keyed")
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    classes = keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(real("id")).alias("first"), F.min("id").alias("some"))
+    classes = keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(real("id")).alias("first"), F.min(F.struct("id", "tie")).alias("some"))
     classes = space.keep(classes, "classes")
     buckets = keyed.where("key is not null").select("key", F.posexplode("trees").alias("tree", "prefix"))
     stars = buckets.groupBy("tree", "prefix").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").drop("high")
@@ -255,8 +257,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     near = space.keep(components(stars, space), "near")
     counts = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = near.join(counts, "root").join(classes, near["node"] == classes["key"])
-    members = members.select("root", "key", "copies", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("some").alias("id"))
-    members = members.join(rows.select("id", "text"), "id").select("root", "key", "copies", "blocks", "text")
+    members = members.select("root", "key", "copies", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "some.id", "some.tie")
+    # one text of each class, found by id and text together, as ids may be null or repeat
+    texts = rows.select("id", F.col("text_hash").alias("tie"), "text")
+    members = members.join(texts, ["id", "tie"]).dropDuplicates(["id", "tie"]).select("root", "key", "copies", "blocks", "text")
     sets = members.mapInArrow(_sets, "root binary, key binary, copies long, blocks int, shingles binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "key", "copies", "block", "shingles")
@@ -264,19 +268,25 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     links = space.keep(sets.mapInArrow(_verify(similarity), "key binary, n long, other binary"), "links")
     groups = components(links.select(F.col("key").alias("a"), F.col("other").alias("b")), space)
     groups = groups.join(classes, groups["node"] == classes["key"]).select("root", "key", "first")
-    groups = groups.join(groups.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("key", "class_id")
+    groups = groups.join(groups.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("root", "key", "class_id")
     others = links.groupBy("key").agg(F.sum("n").alias("n"))
     found = classes.join(groups, "key", "left").join(others, "key", "left")
-    found = found.select("key", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    found = found.select("key", F.coalesce("root", "key").alias("class_key"), F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     return keyed.select("id", "tie", "key").join(found, "key", "left").select(
-        real("id").alias("doc_id"), F.when(F.col("key").isNull(), real("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("tie").alias("text_hash")
+        real("id").alias("doc_id"), F.when(F.col("key").isNull(), real("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("tie").alias("text_hash"), F.lower(F.hex("class_key")).alias("class_key")
     )
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each group stays: that with the smallest id. Of rows that repeat id and text one stays."""
-    found = join(docs, similarity, recall, id_col, text_col)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_hash", F.xxhash64(text_col))
-    kept = own.join(first, ["_id", "_hash"], "left_semi")
-    return kept.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))).where("_k = 1").select(*docs.columns)
+    """The rows of docs, with all their columns, of which one of each group stays: that with the smallest id, of one id by a hash of the text.
+
+    Null ids come last. Texts without words are no group and stay. Of rows that repeat id and text one stays. Columns may have any names;
+    an empty table gives an empty result.
+    """
+    id_, hash_, k_ = fresh(docs, "id", "hash", "k")
+    found = join(docs, similarity, recall, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash", "class_key")
+    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct((F.col("id") == _NO_ID).alias("last"), "id", "text_hash")).alias("one")).select("one.id", "one.text_hash")
+    first = first.union(found.where("class_key is null").select("id", "text_hash").distinct())
+    own = docs.withColumn(id_, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn(hash_, F.xxhash64(text_col))
+    kept = own.join(first.select(F.col("id").alias(id_), F.col("text_hash").alias(hash_)), [id_, hash_], "left_semi")
+    return kept.withColumn(k_, F.row_number().over(Window.partitionBy(id_, hash_).orderBy(id_))).where(F.col(k_) == 1).drop(id_, hash_, k_)
