@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 Training runs on the driver, in numpy, on a sample of bounded size: at most TRAIN_PER_LANG documents of each
-language, those with the smallest hash of their id. Features are made on the executors from whole texts. As the
+language, those with the smallest hash of id and text. Features are made on the executors from whole texts. As the
 model is linear, embedding and softmax fold into one table of scores for each bucket, and predicting is a map
 over partitions: look up each character n-gram's row and average.
 """
@@ -17,9 +17,8 @@ from .common import ship
 
 BUCKETS = 1 << 13
 SIZE = 16
-TRAIN_PER_LANG = 800
-#: Languages learned at most: the most frequent.
-MAX_LANGS = 64
+#: Training rows of a language, and of all together, at most; every language is learned.
+TRAIN_PER_LANG, TRAIN_ROWS = 800, 51_200
 CHUNK_CHARS = 1_000_000
 
 _letters: list[np.ndarray] = []
@@ -154,16 +153,24 @@ def held_out(doc_id: Column, of: int, which: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == which, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
-    """docs: doc_id, text, lang, of which held-out rows are already gone."""
+def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, in_all: int = TRAIN_ROWS) -> Model:
+    """docs: doc_id, text, lang, of which held-out rows are already gone.
+
+    Of each language those rows count that have the smallest hashes of id and text: at most `per_lang`, and fewer where
+    there are more than in_all / per_lang languages, but one at least. Rows with a null text or lang are left out, rows
+    that repeat id, text and lang count once, ids may be null or repeat. Without rows the model knows no language.
+    """
     ship(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS)
-    known = known.where(F.col("lang").isin([r.lang for r in frequent.collect()]))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = known.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_lang)
-    # at most per_lang * MAX_LANGS ids
-    sample = known.join(F.broadcast(picked), known["doc_id"].eqNullSafe(picked["_id"]) & (known["lang"] == picked["_lang"]), "left_semi")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
+    if not sizes:
+        return fit([])
+    most = max(1, min(per_lang, in_all // len(sizes)))
+    # hashes under a share that holds four times the rows wanted, so few are ranked together
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, (4.0 * most + 40) / n)))), F.col("lang"))
+    few = known.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= share).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= most)
     rows = sample.select("lang", "text").mapInArrow(_features, "lang string, buckets array<int>, shares array<float>")
     got = sorted(((r.lang, r.buckets, r.shares) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1][:50], len(r[1])))
     return fit([(a, np.array(b, np.int32), np.array(c, np.float32)) for a, b, c in got])
