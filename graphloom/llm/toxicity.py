@@ -7,8 +7,8 @@ marks or beside words of reporting it counts as quotation, else as abuse. A logi
 the score.
 
 Lexicon and weights are learned from a bounded sample of labelled rows (at most PER_CLASS of each label, those with
-the smallest hash of their id); what the executors send back is word counts of that sample, at most TERMS of
-them, and a few numbers for each sampled row. Scoring is a map over partitions.
+the smallest hash of their id); what the executors send back is counts of those words of that sample that tell
+labels apart or resemble one that does, and a few numbers for each sampled row. Scoring is a map over partitions.
 """
 
 from __future__ import annotations
@@ -21,15 +21,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Workspace, ship
 
 PER_CLASS = 5_000
-TERMS = 3_000
 WINDOW = 6
 CACHE, STATES = 120_000, 30_000
-#: Known terms, for tables without labels; labels add others.
+#: Known terms, for tables without labels alone.
 SEED_TERMS = ("idiot", "moron", "loser", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting", "clown")
-#: Words beside which a term is reported, not used.
+#: Words beside which a term is reported, not used: a parameter of `train`, as labels do not tell.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes term word phrase reported alleged shouted".split())
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}@$]+(?:['’][\p{L}]+)?")
 #: Signs that stand for letters.
@@ -123,11 +122,11 @@ class Automaton:
 class Model:
     """terms, stems: term or beginning of words -> weight; clean: words that are no misspelling; coef: weights of the features and a constant."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: list[str], coef: np.ndarray | None = None):
-        self.terms, self.stems, self.clean, self.coef = terms, stems, clean, coef
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: list[str], coef: np.ndarray | None = None, reporting: frozenset[str] = REPORTING):
+        self.terms, self.stems, self.clean, self.coef, self.reporting = terms, stems, clean, coef, frozenset(reporting)
 
     def __getstate__(self):
-        return {"terms": self.terms, "stems": self.stems, "clean": self.clean, "coef": self.coef}
+        return {"terms": self.terms, "stems": self.stems, "clean": self.clean, "coef": self.coef, "reporting": self.reporting}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -179,7 +178,7 @@ class Model:
         inside = quoted_places(text)
         for k, (kind, weight) in hits:
             near = words[max(0, k - WINDOW) : k + WINDOW + 1]
-            if k in inside or any(w in REPORTING for w in near):
+            if k in inside or any(w in self.reporting for w in near):
                 quoted += weight
             else:
                 direct[kind - 1] += weight
@@ -249,29 +248,52 @@ def lexicon(rows: list[tuple[str, float, float]], pos: float, neg: float) -> tup
     return terms, stems
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic, of which held-out rows are already gone."""
+def _resembling(batches, terms):
+    """The words that the automaton of the terms takes for one of them, misspelled."""
+    automaton, plain = Automaton(terms), lambda w: w.translate(_SIGNS) if _SIGN.search(w) and not w.isdigit() else w
+    for batch in batches:
+        if len(automaton.states) > STATES:
+            automaton.reset()
+        hits = [w for w in batch.column(0).to_pylist() if (automaton.match(w) or (0,))[0] or (automaton.match(plain(w)) if plain(w) != w else None)]
+        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], ["key"])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reporting: frozenset[str] = REPORTING) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic, of which held-out rows are already gone.
+
+    Rows with a null id or label count for nothing; of labels that differ for one id the larger holds; of documents
+    that repeat an id the one with the smallest hash of its text counts; null texts have no words. Without rows of both labels
+    the model has the known terms and default weights.
+    """
     spark = docs.sparkSession
     ship(spark)
+    space = Workspace(spark, "toxicity")
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # hashes under a share that holds four times the rows wanted, so few are ranked together
+    share = F.when(F.col("toxic") == 1, min(1.0, (4.0 * per_class + 40) / total.get(1, 1))).otherwise(min(1.0, (4.0 * per_class + 40) / total.get(0, 1)))
+    few = labels.where((F.xxhash64("doc_id").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64)) <= share)
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class).drop("k")  # at most 2 * per_class rows
+    picked = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class).drop("k")  # at most 2 * per_class rows
     fold = (F.crc32(F.concat(F.lit("fold|"), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", fold.alias("fold"), "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("toxic", fold.alias("fold"), "one.text")
+    sample = space.keep(sample, "sample")  # as many rows as ids were picked
     n = {(r.toxic, r.fold): r.n for r in sample.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = ([n.get((y, f), 0) for f in (0, 1)] for y in (1, 0))
     if not sum(pos) or not sum(neg):
-        return Model({t: 5.0 for t in SEED_TERMS}, {}, [], DEFAULT_COEF)
+        return Model({t: 5.0 for t in SEED_TERMS}, {}, [], DEFAULT_COEF, reporting)
     counts = [F.coalesce(F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), 1)), F.lit(0)).alias(f"{name}{f}") for name, y in (("t", 1), ("n", 0)) for f in (0, 1)]
-    found = sample.mapInArrow(_keys, "toxic int, fold int, key string").groupBy("key").agg(*counts)
+    found = space.keep(sample.mapInArrow(_keys, "toxic int, fold int, key string").groupBy("key").agg(*counts), "keys")
     apart = (F.col("t0") + F.col("t1")) / sum(pos) >= 2 * (F.col("n0") + F.col("n1")) / sum(neg)
-    rows = found.where((F.col("t0") + F.col("t1") >= 3) & apart).orderBy((F.col("t0") + F.col("t1") - F.lit(sum(pos) / sum(neg)) * (F.col("n0") + F.col("n1"))).desc(), "key").limit(2 * TERMS).collect()
-    clean = [r.key for r in found.where((F.col("n0") + F.col("n1") >= 1) & ~F.col("key").startswith(" ")).orderBy((F.col("n0") + F.col("n1")).desc(), "key").limit(30_000).select("key").collect()]
+    rows = sorted(found.where((F.col("t0") + F.col("t1") >= 3) & apart).collect(), key=lambda r: r.key)  # of the sample's words alone
+    terms = [r.key for r in rows if not r.key.startswith(" ")]
+    others = found.where((F.col("n0") + F.col("n1") >= 1) & ~F.col("key").startswith(" ")).select("key")
+    clean = sorted(r.key for r in others.mapInArrow(lambda batches: _resembling(batches, terms), "key string").collect()) if terms else []
 
     def model_of(t, n, of_pos, of_neg):
         terms, stems = lexicon([(r.key, t(r), n(r)) for r in rows], of_pos, of_neg)
-        return Model({x: 5.0 for x in SEED_TERMS if x not in terms} | terms, stems, clean)
+        return Model(terms, stems, clean, reporting=reporting)
 
     model = model_of(lambda r: r.t0 + r.t1, lambda r: r.n0 + r.n1, sum(pos), sum(neg))
     # the weights of the features are learned on rows whose half of the sample did not make the lexicon
