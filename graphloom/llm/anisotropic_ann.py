@@ -3,15 +3,22 @@
 Vectors are cut into pairs of components, each coded by one of 16 centres (four bits). Codes and centres minimise
 |r|^2 + (eta - 1) (r . x/|x|)^2 for the residual r of a vector x: an error along x changes large inner products and
 so costs eta times one across it. A query's products with all centres make a table; a row's approximate score is a
-sum over the table at its codes. The best rows by that are ranked by the exact product in double precision.
+sum over the table at its codes. The best rows by that, for each query over all rows, are ranked by the exact
+product in double precision.
 
 Centres are fitted on the driver on at most SAMPLE vectors (those with the smallest hash of their id); every row is
-coded. Rows and queries lie in blocks of bounded size, and each pair of a row block and a query block is one row of
-an equi-join and one piece of work; only the best TOP of each piece go on.
+coded. Codes, not vectors, lie in blocks of bounded size, and each pair of a block of codes and a block of queries
+is one row of an equi-join and one piece of work. Rows are dealt to blocks by a hash, so of a query's shortlist a
+block holds its share and little more, and sends on no more than that. Vectors are joined to the shortlists alone.
+
+The shortlist has at least LEAST rows and ROOT times the root of the number of rows (453 of 51,282): no table is
+scored exactly as a whole, but for those of up to LEAST rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +29,7 @@ from .common import Workspace, ship
 SAMPLE = 10_000
 CENTRES = 16
 ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
-RERANK = 500
+LEAST, ROOT = 100, 2
 THRESHOLD = 0.2
 
 
@@ -102,11 +109,15 @@ def fit(sample: np.ndarray, rounds: int = 6, seed: int = 3) -> Quantiser:
     return q
 
 
-def best_of_block(quantiser: Quantiser, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the ids and exact products of its best rows; rows lie in order of ids."""
+def shortlist_size(rows: int, top: int) -> int:
+    return max(LEAST, top + 1, math.ceil(ROOT * math.sqrt(rows)))
+
+
+def best_of_block(quantiser: Quantiser, ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id, approximate score of each query's best rows, the query's own left out; rows lie in order of ids."""
     tables = quantiser.tables(queries)
-    approx = np.zeros((len(rows), len(queries)), np.float32)
-    for at in range(0, len(rows), 1024):
+    approx = np.zeros((len(ids), len(queries)), np.float32)
+    for at in range(0, len(ids), 1024):
         for m in range(codes.shape[1]):
             approx[at : at + 1024] += tables[m][codes[at : at + 1024, m]]
     approx = np.ascontiguousarray(approx.T)
@@ -115,25 +126,26 @@ def best_of_block(quantiser: Quantiser, ids: np.ndarray, rows: np.ndarray, codes
         s = approx[k]
         s[np.searchsorted(ids, own) : np.searchsorted(ids, own, "right")] = -np.inf
         found = np.arange(len(s))
-        if len(s) > rerank:
-            cut = np.partition(s, len(s) - rerank)[len(s) - rerank]
-            found = np.flatnonzero(s >= cut)  # with all ties, as rows of one code may differ
-        found = found[ids[found] != own]
-        exact = (rows[found].astype(np.float64) * queries[k].astype(np.float64)).sum(1)
-        order = np.lexsort((ids[found], -exact))[:top]
-        out.append((np.full(len(order), own), ids[found][order], exact[order]))
-    return out
+        if len(s) > most:
+            cut = np.partition(s, len(s) - most)[len(s) - most]
+            above, equal = np.flatnonzero(s > cut), np.flatnonzero(s == cut)
+            found = np.concatenate([above, equal[: most - len(above)]])  # of ties the smaller ids
+        found = found[s[found] > -np.inf]
+        out.append((np.full(len(found), own), ids[found], s[found]))
+    return tuple(np.concatenate(part) for part in zip(*out))
 
 
-def search(embeddings: DataFrame, every: int = 20, top: int = 20, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(embeddings: DataFrame, every: int = 20, top: int = 20, rerank: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` its `top` largest inner products among other rows.
 
     Takes no part: rows whose id is null, whose vector is null, zero, holds a null, NaN or infinite component, or has
-    another dimension than most. Rows that repeat an id count once, with the smallest of their vectors. Ties go to
+    another dimension than most. Rows that repeat an id count once, with the smallest of their vectors. Of equal vectors
+    only the top + 1 with the smallest ids are looked at, as no more can be among the nearest. Ties go to
     the smaller id; an empty table gives an empty result; further columns are left out.
     """
     spark = embeddings.sparkSession
     ship(spark)
+    space = Workspace(spark, "ann")
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -144,40 +156,61 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, rerank: int =
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size(v) == sizes.d)
     if sizes.n > sizes.ids:
-        rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+        rows = space.keep(rows.groupBy("id").agg(F.min("v").alias("v")), "rows")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     quantiser = spark.sparkContext.broadcast(fit(np.array([r.v for r in sorted(sample)])))  # fixed size
     blocks, query_blocks = -(-sizes.ids // ROW_BLOCK), max(1, -(-sizes.ids // every // QUERY_BLOCK))
-    d = sizes.d
+    d, short = sizes.d, rerank or shortlist_size(sizes.ids, top)
+    share = short / blocks
+    most = min(short, math.ceil(share + 6 * math.sqrt(share) + 8)) if blocks > 1 else short
 
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        x = group.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
-        codes = np.zeros(0, np.uint8)
-        if not group.column("query")[0].as_py():
-            codes = np.concatenate([quantiser.value.encode(x[k : k + 4096]) for k in range(0, len(x), 4096)]).astype(np.uint8)
+    def encode(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            codes = quantiser.value.encode(x).astype(np.uint8) if len(x) else np.zeros((0, 2), np.uint8)
             if codes.shape[1] % 2:
                 codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
             codes = codes[:, 0::2] | (codes[:, 1::2] << 4)
-        return pa.table({"block": group.column("block")[:1], "ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "same", "codes"])
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        joined = lambda c: b"".join(group.column(c).to_pylist())
+        return pa.table({"block": group.column("block")[:1], "ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "codes": pa.array([joined("codes")], pa.binary())})
+
+    def pack_queries(group: pa.Table) -> pa.Table:
+        x = group.column("v").combine_chunks().flatten().to_numpy()
+        return pa.table({"other": group.column("other")[:1], "query_ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([x.tobytes()], pa.binary())})
 
     def scan(batches):
         for batch in batches:
-            for ids, x, codes, query_ids, queries in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for ids, codes, query_ids, queries in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
                 packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
                 codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, : (d + 1) // 2]
-                found = best_of_block(quantiser.value, ids, np.frombuffer(x).reshape(-1, d), codes, query_ids, np.frombuffer(queries).reshape(-1, d), top, rerank)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in zip(*found)], ["query_id", "vec_id", "score"])
+                found = best_of_block(quantiser.value, ids, codes, query_ids, np.frombuffer(queries).reshape(-1, d), most)
+                yield pa.RecordBatch.from_arrays([pa.array(part) for part in found], ["query_id", "vec_id", "approx"])
 
-    packed = "block int, ids binary, x binary, codes binary"
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = rows.select(place(blocks).alias("block"), "id", "v", F.lit(False).alias("query")).groupBy("block").applyInArrow(pack, packed)
-    right = rows.where(F.col("id") % every == 0).select(place(query_blocks).alias("block"), "id", "v", F.lit(True).alias("query")).groupBy("block").applyInArrow(pack, packed)
+    coded = rows.select("id", "v", F.xxhash64("v").alias("same")).mapInArrow(encode, "id long, same long, codes binary")
+    first = F.row_number().over(Window.partitionBy("same").orderBy("id"))
+    coded = coded.withColumn("copy", first).where(F.col("copy") <= top + 1)
+    left = coded.select(place(blocks).alias("block"), "id", "codes").groupBy("block").applyInArrow(pack, "block int, ids binary, codes binary")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = right.select(F.col("block").alias("other"), F.col("ids").alias("query_ids"), F.col("x").alias("queries")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = left.join(right, ["block", "other"]).select("ids", "x", "codes", "query_ids", "queries")
-    found = met.mapInArrow(scan, "query_id long, vec_id long, score double")
+    asked = rows.where(F.col("id") % every == 0)
+    right = asked.select(place(query_blocks).alias("other"), "id", "v").groupBy("other").applyInArrow(pack_queries, "other int, query_ids binary, queries binary")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = left.join(right, ["block", "other"]).select("ids", "codes", "query_ids", "queries")
+    found = met.mapInArrow(scan, "query_id long, vec_id long, approx float")
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("approx").desc(), "vec_id"))
+    found = space.keep(found.withColumn("near", near).where(F.col("near") <= short).select("query_id", "vec_id"), "shortlists")
+    found = found.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("y")), "query_id")
+
+    def products(batches):
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x * y).sum(1))], ["query_id", "vec_id", "score"])
+
+    exact = found.select("query_id", "vec_id", "x", "y").mapInArrow(products, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
