@@ -82,9 +82,9 @@ def first_sentence_with(c: Column, words) -> Column:
 
 
 def alternatives(c: Column, markers=ALTERNATIVE_MARKERS, most: int = 3) -> Column:
-    """What follows the first place of each marker, up to the full stop, 50 characters; the first three that are not blank."""
+    """What follows the first place of each marker, up to its next place or the full stop, 50 characters; the first three that are not blank."""
     low = F.lower(c)
-    after = lambda m: F.when(F.contains(low, F.lit(m)), F.substring(strip(F.substring_index(F.substring(low, F.locate(m, low) + len(m), 1 << 30), ".", 1)), 1, 50))
+    after = lambda m: F.when(F.contains(low, F.lit(m)), F.substring(strip(F.substring_index(F.split_part(low, F.lit(m), F.lit(2)), ".", 1)), 1, 50))
     return F.slice(F.filter(F.array(*map(after, markers)), lambda x: x.isNotNull() & (x != "")), 1, most)
 
 
@@ -112,9 +112,9 @@ def keywords_a(c: Column) -> Column:
 
 
 def keywords_b(c: Column) -> Column:
-    """Different runs of four or more small letters, no stop words, sorted, five."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))
-    return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda w: ~w.isin(*STOP_B)))), 1, 5)
+    """Different words of four or more letters a to z alone, no stop words, sorted, five. A word is a run of letters and digits of any script, and underscores."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda w: w.rlike(r"\A[a-z]{4,}\z") & ~w.isin(*STOP_B)))), 1, 5)
 
 
 def keywords_c(c: Column) -> Column:

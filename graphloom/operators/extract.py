@@ -104,11 +104,12 @@ def captures(df: DataFrame, id_col: str, text_col: str, markers, low: int = 10,
     return rows.withColumn("capture", strip(F.col("capture"))).where(F.char_length("capture") >= low)
 
 
-# Markers of first-match extraction and the words that end a capture besides . , ;
+# How first-match rules begin, and what ends their capture.
+STOP = r"\.|,|;|$"
 FIRST = {
-    "decision": (("decided to", ("because",)), ("chose to", ("because", "over")), ("selected", ("for",)), ("went with", ("instead",)), ("picked", ())),
-    "pattern": (("always", ()), ("pattern(?: of| is)?", ()), ("approach(?: is| involves)?", ()), ("strategy(?: is| for)?", ()), ("convention(?: of| is)?", ())),
-    "failure": (("failed to", ()), ("didn't work", ()), ("broke", ()), ("error(?: in| with)?", ()), ("bug(?: in| with)?", ()), ("issue(?: with| in)?", ())),
+    "decision": (("decided to ", r"\.|,|;|because|$"), ("chose ", r"\.|,|;|because|over|$"), ("selected ", r"\.|,|;|for|$"), ("went with ", r"\.|,|;|instead|$"), ("picked ", STOP), ("using ", " (?:for|because|instead)")),
+    "pattern": (("always ", STOP), ("pattern (?:of |is )?", STOP), ("approach (?:is |involves )?", STOP), ("strategy (?:is |for )?", STOP), ("convention (?:of |is )?", STOP)),
+    "failure": (("failed to ", STOP), ("didn't work ", STOP), ("broke ", STOP), ("error (?:in |with )?", STOP), ("bug (?:in |with )?", STOP), ("issue (?:with |in )?", STOP)),
 }
 CAPS = {"decision": 200, "pattern": 100, "failure": 200}
 
@@ -118,10 +119,9 @@ def first_match(df: DataFrame, text_col: str, rules=FIRST, caps=CAPS) -> DataFra
     t = F.regexp_replace(F.col(text_col), r"\n$", "")
     out = F.when(F.char_length(t) > 50, F.struct(F.lit("pattern").alias("class"), F.concat(F.substring(t, 1, 80), F.lit("...")).alias("capture")))
     for name in reversed(list(rules)):
-        for marker, stops in reversed(rules[name]):
-            end = "|".join([r"\.", ",", ";", *stops, "$"])
-            got = F.regexp_extract(t, rf"(?id){marker}\s+(.+?)(?:{end})", 1)
-            out = F.when(got != "", F.struct(F.lit(name).alias("class"), F.substring(strip(got), 1, caps[name]).alias("capture"))).otherwise(out)
+        for begin, end in reversed(rules[name]):
+            got = F.regexp_extract(t, rf"(?id){begin}(.+?)(?:{end})", 1)
+            out = F.when(got != "", F.struct(F.lit(name).alias("class"), strip(F.substring(got, 1, caps[name])).alias("capture"))).otherwise(out)
     found = F.when(F.char_length(t) >= 10, out)
     return df.withColumn("_found", found).withColumn("class", F.col("_found.class")).withColumn("capture", F.col("_found.capture")).drop("_found")
 

@@ -655,9 +655,9 @@ def keywords_a(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(X.keywords_a(F.col("text")), " ").alias("words")).where("words <> ''")
 
 
-@query(r"select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '\b[a-z]{4,}\b'), lambda x: x not in (" + _stop(X.STOP_B) + r"))))[1:5], ' ') as words from documents where regexp_full_match(text, '[\x00-\x7F]*')")
+@query(r"select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}') and x not in (" + _stop(X.STOP_B) + r"))))[1:5], ' ') as words from documents")
 def keywords_b(spark, sf):
-    return docs(spark, sf).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", F.array_join(X.keywords_b(F.col("text")), " ").alias("words"))
+    return docs(spark, sf).select("doc_id", F.array_join(X.keywords_b(F.col("text")), " ").alias("words"))
 
 
 @query(r"""select doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(trim(lower(text), chr(32) || chr(10)), '\s+'), lambda x: length(x) > 4 and x not in (""" + _stop(X.STOP_C) + r""")), lambda x: trim(x, '.,;:!?()[]{}"'))[1:10], ' ') as words from documents""")

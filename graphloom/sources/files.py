@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names that make a folder a project, and folders that are skipped.
-PROJECT_MARKERS = (".git", "package.json", "requirements.txt", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "Makefile", "README.md", "CMakeLists.txt", "setup.py")
-SKIPPED = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", ".git", ".idea", ".vscode", "vendor")
+PROJECT_MARKERS = (".git", "README.md", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "CMakeLists.txt", ".project", "setup.py", "composer.json")
+SKIPPED = ("venv", "__pycache__", "node_modules", "dist", "build", "target", ".pytest_cache", ".mypy_cache", "logs", "tmp", "temp")
 
 
 def _excluded(path: Column, patterns) -> Column:
@@ -61,14 +61,16 @@ def projects(root: str) -> list[dict]:
     out = []
     for name in sorted(os.listdir(root)):
         path = os.path.join(root, name)
-        if os.path.isdir(path) and not name.startswith(".") and name not in SKIPPED and any(os.path.exists(os.path.join(path, m)) for m in PROJECT_MARKERS):
+        if os.path.isdir(path) and not name.startswith(".") and name.lower() not in SKIPPED and any(os.path.exists(os.path.join(path, m)) for m in PROJECT_MARKERS):
             out.append({"id": f"{os.path.basename(root.rstrip('/'))}_{name}", "path": path})
     return out
 
 
 def write_report(rows: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A short report as Markdown and JSON beside it; `rows` are a result of a few lines."""
-    found = [r.asDict(True) for r in rows.limit(most).collect()]
+    """A short report as Markdown and JSON beside it; `rows` are a result of a few lines: more than `most` are an error."""
+    found = [r.asDict(True) for r in rows.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"a report holds at most {most} rows; write larger results as a table")
     with open(path + ".json", "w") as f:
         json.dump(found, f, default=str, indent=1)
     with open(path + ".md", "w") as f:
