@@ -5,7 +5,7 @@ stands at its beginning or its end. Whether a k-mer is chosen depends on nothing
 passage choose the same anchors in it. Where none is chosen, all k-mers of the text count; a text under eight
 characters is one k-mer. The fingerprint keeps the SIZE smallest hashes of a text's different syncmers, and the likeness of
 two fingerprints is the share of common hashes among the SIZE smallest of both: an estimate of the Jaccard
-similarity of the syncmer sets.
+similarity of the syncmer sets. `anchors` has all syncmers of a text with their places.
 """
 
 from __future__ import annotations
@@ -20,26 +20,49 @@ SMER = rf"(?s)(?=(.{{{S}}}))."
 _NO_ID = -(1 << 63)
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df and column out: the sorted hashes (array of int, at most SIZE) of the text's closed syncmers.
+def let(x: Column, f) -> Column:
+    """f of x, which is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
-    An empty text has an empty array, and no other. Steps are columns of their own, so each is computed once.
+
+def _kmers(text: Column, f) -> Column:
+    """f of each k-mer, by place, from the hashes of its four s-mers."""
+    smers = F.transform(F.regexp_extract_all(text, F.lit(SMER), F.lit(1)), lambda t: F.xxhash64(t))
+    n = lambda h: F.greatest(F.size(h) - (K - S), F.lit(0))
+    return let(smers, lambda h: F.transform(F.slice(h, F.lit(1), n(h)), lambda a, k: f(a, F.get(h, k + 1), F.get(h, k + 2), F.get(h, k + 3))))
+
+
+def _hash(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """A k-mer of eight characters is told by its first and last five."""
+    return F.shiftright(F.xxhash64(a, d), 32).cast("int")
+
+
+def marks(text: Column) -> Column:
+    """By place in the text: the hash (int) of the k-mer that begins there if it is a closed syncmer, else null."""
+    return _kmers(text, lambda a, b, c, d: F.when(F.least(a, d) <= F.least(b, c), _hash(a, b, c, d)))
+
+
+def anchors(text: Column) -> Column:
+    """The closed syncmers of a text: array of (place, hash), for matching by position; place counts characters from 0."""
+    found = F.transform(marks(text), lambda h, k: F.struct(k.alias("place"), h.alias("hash")))
+    return F.filter(found, lambda x: x["hash"].isNotNull())
+
+
+def smallest(hashes: Column, n: Column) -> Column:
+    """The SIZE smallest different values, sorted, of n that may be null.
+
+    Only values under a bound that some 4 * SIZE should pass are sorted; where too few do, as in texts that repeat, all are.
     """
-    h, p = (f"_{out}_{x}" for x in "hp")
-    smers = F.regexp_extract_all(F.col(text), F.lit(SMER), F.lit(1))
-    df = df.withColumn(h, F.transform(smers, lambda t: F.xxhash64(t)))
-    # p: for each k-mer its first and last s-mer, and the two between
-    n = F.greatest(F.size(h) - (K - S), F.lit(0))
-    a, b, c, d = (F.slice(h, F.lit(k + 1), n).alias("abcd"[k]) for k in range(K - S + 1))
-    df = df.withColumn(p, F.arrays_zip(a, b, c, d))
-    closed = F.filter(F.col(p), lambda r: F.least(r["a"], r["d"]) <= F.least(r["b"], r["c"]))
-    df = df.withColumn(out, closed)
-    # a k-mer of eight characters is told by its first and last five
-    kmers = F.when(F.size(out) > 0, F.col(out)).otherwise(F.col(p))
-    chosen = F.transform(kmers, lambda r: F.shiftright(F.xxhash64(r["a"], r["d"]), 32).cast("int"))
-    whole = F.array(F.shiftright(F.xxhash64(F.col(text)), 32).cast("int"))
-    found = F.when(F.size(p) > 0, chosen).when(F.col(text) != "", whole).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(found)), 1, SIZE)).drop(h, p)
+    sketch = lambda x: F.slice(F.sort_array(F.array_distinct(x)), 1, SIZE)
+    bound = F.when(n > 8 * SIZE, F.lit(float(1 << 32)) * (8 * SIZE) / n - F.lit(float(1 << 31))).otherwise(F.lit(float((1 << 31) - 1))).cast("int")
+    low = let(bound, lambda most: sketch(F.filter(hashes, lambda h: h <= most)))
+    return let(low, lambda x: F.when((n <= 8 * SIZE) | (F.size(x) >= SIZE), x).otherwise(sketch(F.filter(hashes, lambda h: h.isNotNull()))))
+
+
+def _or_all(sketch: Column, text: Column) -> Column:
+    """The sketch or, where no syncmer is chosen, all k-mers; a text under eight characters is one."""
+    every = F.when(F.char_length(text) >= K, _kmers(text, _hash)).when(text != "", F.array(F.shiftright(F.xxhash64(text), 32).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(sketch) > 0, sketch).otherwise(F.slice(F.sort_array(F.array_distinct(every)), 1, SIZE))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -50,7 +73,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def hex_of(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    """Eight digits for each hash."""
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.substring(F.hex(x.cast("long") + F.lit(1 << 33)), 2, 8)), ""))
 
 
 def successors(keys: DataFrame, space: Workspace) -> DataFrame:
@@ -88,9 +112,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = heads.join(rows, ["id", "tie"]).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("id").alias("next_id"), F.col("tie").alias("next_tie"))
     heads = heads.dropDuplicates(["id", "tie"])  # a next document that repeats gives one head
     both = rows.join(heads, ["id", "tie"]).withColumn("n", F.char_length("text").cast("long"))
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), F.col("head"))
-    both = with_sketch(both.withColumn("edited", edited), "text", "sketch")
-    both = with_sketch(both, "edited", "edited_sketch")
+    keep = (F.col("n") - F.floor(F.col("n") / 3)).cast("int")
+    both = both.withColumn("left", F.substring("text", F.lit(1), keep)).withColumn("edited", F.concat("left", "head"))
+    # the k-mers of an edited text are those of its two parts and those that span the seam
+    seam = F.concat(F.right("left", F.lit(K - 1)), F.substring("head", 1, K - 1))
+    both = both.withColumn("marks", marks(F.col("text"))).withColumn("head_marks", marks(F.col("head"))).withColumn("seam", F.filter(marks(seam), lambda h: h.isNotNull()))
+    inside = F.greatest(keep - (K - 1), F.lit(0))  # k-mers that end before the cut
+    after = F.greatest(F.size("marks") - inside, F.lit(0))
+    both = both.withColumn("first", smallest(F.slice("marks", F.lit(1), inside), inside)).withColumn("rest", smallest(F.slice("marks", inside + 1, after), after))
+    of = lambda *parts: F.slice(F.sort_array(F.array_union(F.array_union(*parts[:2]), parts[-1])), 1, SIZE)
+    both = both.withColumn("own", of("first", "rest", "rest")).withColumn("joined", of("first", smallest(F.col("head_marks"), F.char_length("head")), "seam"))
+    both = both.withColumn("sketch", _or_all(F.col("own"), F.col("text"))).withColumn("edited_sketch", _or_all(F.col("joined"), F.col("edited")))
     made = both.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "id", "tie", "next_id", "next_tie", F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "edited_sketch")
     made = space.keep(made, "sketches")
     after = made.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("sketch").alias("next_sketch")).dropDuplicates(["next_id", "next_tie"])  # repeated rows have one sketch
