@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,26 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine, as workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def released(run):
+    """run, a function over batches, with the memory given back at its end."""
+
+    def all_of(batches):
+        yield from run(batches)
+        release()
+
+    return all_of
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir; where it is unset (tests, local mode), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

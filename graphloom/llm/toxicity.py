@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, ship
+from .common import Workspace, released, ship
 
 PER_CLASS = 5_000
 WINDOW = 6
@@ -249,13 +249,14 @@ def lexicon(rows: list[tuple[str, float, float]], pos: float, neg: float) -> tup
 
 
 def _resembling(batches, terms):
-    """The words that the automaton of the terms takes for one of them, misspelled."""
+    """The rows whose first column is a word that the automaton of the terms takes for one of them, misspelled."""
     automaton, plain = Automaton(terms), lambda w: w.translate(_SIGNS) if _SIGN.search(w) and not w.isdigit() else w
     for batch in batches:
         if len(automaton.states) > STATES:
             automaton.reset()
-        hits = [w for w in batch.column(0).to_pylist() if (automaton.match(w) or (0,))[0] or (automaton.match(plain(w)) if plain(w) != w else None)]
-        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], ["key"])
+        words = batch.column(0).to_pylist()
+        hits = pa.array([bool((automaton.match(w) or (0,))[0] or (automaton.match(plain(w)) if plain(w) != w else None)) for w in words], pa.bool_())
+        yield batch.filter(hits)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reporting: frozenset[str] = REPORTING) -> Model:
@@ -284,20 +285,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, report
     if not sum(pos) or not sum(neg):
         return Model({t: 5.0 for t in SEED_TERMS}, {}, [], DEFAULT_COEF, reporting)
     counts = [F.coalesce(F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), 1)), F.lit(0)).alias(f"{name}{f}") for name, y in (("t", 1), ("n", 0)) for f in (0, 1)]
-    found = space.keep(sample.mapInArrow(_keys, "toxic int, fold int, key string").groupBy("key").agg(*counts), "keys")
+    found = space.keep(sample.mapInArrow(released(_keys), "toxic int, fold int, key string").groupBy("key").agg(*counts), "keys")
     apart = (F.col("t0") + F.col("t1")) / sum(pos) >= 2 * (F.col("n0") + F.col("n1")) / sum(neg)
     rows = sorted(found.where((F.col("t0") + F.col("t1") >= 3) & apart).collect(), key=lambda r: r.key)  # of the sample's words alone
-    terms = [r.key for r in rows if not r.key.startswith(" ")]
-    others = found.where((F.col("n0") + F.col("n1") >= 1) & ~F.col("key").startswith(" ")).select("key")
-    clean = sorted(r.key for r in others.mapInArrow(lambda batches: _resembling(batches, terms), "key string").collect()) if terms else []
-
-    def model_of(t, n, of_pos, of_neg):
-        terms, stems = lexicon([(r.key, t(r), n(r)) for r in rows], of_pos, of_neg)
-        return Model(terms, stems, clean, reporting=reporting)
-
-    model = model_of(lambda r: r.t0 + r.t1, lambda r: r.n0 + r.n1, sum(pos), sum(neg))
-    # the weights of the features are learned on rows whose half of the sample did not make the lexicon
-    halves = spark.sparkContext.broadcast([model_of(lambda r: r.t1, lambda r: r.n1, pos[1], neg[1]), model_of(lambda r: r.t0, lambda r: r.n0, pos[0], neg[0])])
+    made = [lexicon([(r.key, t(r), n(r)) for r in rows], of_pos, of_neg) for t, n, of_pos, of_neg in (
+        (lambda r: r.t0 + r.t1, lambda r: r.n0 + r.n1, sum(pos), sum(neg)), (lambda r: r.t1, lambda r: r.n1, pos[1], neg[1]), (lambda r: r.t0, lambda r: r.n0, pos[0], neg[0]))]
+    terms = sorted(set().union(*(found_terms for found_terms, _ in made)))
+    others = found.where((F.col("n0") + F.col("n1") >= 1) & ~F.col("key").startswith(" ")).select("key", "n0", "n1")
+    known = others.mapInArrow(released(lambda batches: _resembling(batches, terms)), "key string, n0 long, n1 long").collect() if terms else []
+    # the weights of the features are learned on rows whose half of the sample made neither the lexicon nor the known words
+    clean = [sorted(r.key for r in known if n(r)) for n in (lambda r: r.n0 + r.n1, lambda r: r.n1, lambda r: r.n0)]
+    model, *of_halves = (Model(found_terms, stems, words, reporting=reporting) for (found_terms, stems), words in zip(made, clean))
+    halves = spark.sparkContext.broadcast(of_halves)
 
     def features(batches):
         for batch in batches:
@@ -306,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, report
         for model in halves.value:
             model.rest()
 
-    rows = sample.mapInArrow(features, "toxic int, x array<double>").collect()  # at most 2 * per_class short rows
+    rows = sample.mapInArrow(released(features), "toxic int, x array<double>").collect()  # at most 2 * per_class short rows
     rows.sort(key=lambda r: (r.toxic, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, FEATURES)
     y = np.array([r.toxic for r in rows], float)
@@ -350,7 +349,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
         shared.value.rest()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(released(run), f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def score_column_kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -366,4 +365,4 @@ def score_column_kept(docs: DataFrame, model: Model, threshold: float = 0.3, tex
             yield batch.filter(pa.array(s < threshold))
         shared.value.rest()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
