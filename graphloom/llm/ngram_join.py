@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, ship
+from .common import Workspace, fresh, released, ship
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -247,7 +247,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     space = Workspace(spark, "ngram-join")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     depth = depth_for(recall, similarity)
-    keyed = space.keep(rows.mapInArrow(_keyed(depth), "id long, tie long, key binary, trees array<long>"), "keyed")
+    keyed = space.keep(rows.mapInArrow(released(_keyed(depth)), "id long, tie long, key binary, trees array<long>"), "keyed")
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     classes = keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(real("id")).alias("first"), F.min(F.struct("id", "tie")).alias("some"))
     classes = space.keep(classes, "classes")
@@ -261,11 +261,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     # one text of each class, found by id and text together, as ids may be null or repeat
     texts = rows.select("id", F.col("text_hash").alias("tie"), "text")
     members = members.join(texts, ["id", "tie"]).dropDuplicates(["id", "tie"]).select("root", "key", "copies", "blocks", "text")
-    sets = members.mapInArrow(_sets, "root binary, key binary, copies long, blocks int, shingles binary")
+    sets = members.mapInArrow(released(_sets), "root binary, key binary, copies long, blocks int, shingles binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "key", "copies", "block", "shingles")
     sets = sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = space.keep(sets.mapInArrow(_verify(similarity), "key binary, n long, other binary"), "links")
+    links = space.keep(sets.mapInArrow(released(_verify(similarity)), "key binary, n long, other binary"), "links")
     groups = components(links.select(F.col("key").alias("a"), F.col("other").alias("b")), space)
     groups = groups.join(classes, groups["node"] == classes["key"]).select("root", "key", "first")
     groups = groups.join(groups.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("root", "key", "class_id")
