@@ -18,6 +18,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +121,9 @@ class Automaton:
 
 
 class Model:
-    """terms, stems: term or beginning of words -> weight; clean: words that are no misspelling; coef: weights of the features and a constant."""
+    """terms, stems: term or beginning of words -> weight; clean: sorted hashes of words that are no misspelling; coef: weights of the features and a constant."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: list[str], coef: np.ndarray | None = None, reporting: frozenset[str] = REPORTING):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: np.ndarray, coef: np.ndarray | None = None, reporting: frozenset[str] = REPORTING):
         self.terms, self.stems, self.clean, self.coef, self.reporting = terms, stems, clean, coef, frozenset(reporting)
 
     def __getstate__(self):
@@ -134,7 +135,6 @@ class Model:
     def ready(self) -> None:
         if not hasattr(self, "automaton"):
             self.automaton = Automaton(self.terms)
-            self.clean_set = frozenset(self.clean)
             self.stem_sizes = sorted({len(s) for s in self.stems})
             self.cache: dict[str, tuple[int, float]] = {}
 
@@ -154,7 +154,12 @@ class Model:
         plain = word.translate(_SIGNS) if _SIGN.search(word) and not word.isdigit() else word
         if plain != word:
             hit = self.automaton.match(plain)
-        return (3, self.terms[hit[1]]) if hit and word not in self.clean_set else (0, 0.0)
+        return (3, self.terms[hit[1]]) if hit and not self.known(word) else (0, 0.0)
+
+    def known(self, word: str) -> bool:
+        h = np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)).view(np.int64)  # as Spark's xxhash64
+        k = np.searchsorted(self.clean, h)
+        return bool(k < len(self.clean) and self.clean[k] == h)
 
     def features(self, text: str) -> list[float]:
         """Of direct hits: weights of terms, of beginnings, of misspellings, the largest weight, hits in 100 words; of quoted hits the weights."""
@@ -248,17 +253,6 @@ def lexicon(rows: list[tuple[str, float, float]], pos: float, neg: float) -> tup
     return terms, stems
 
 
-def _resembling(batches, terms):
-    """The rows whose first column is a word that the automaton of the terms takes for one of them, misspelled."""
-    automaton, plain = Automaton(terms), lambda w: w.translate(_SIGNS) if _SIGN.search(w) and not w.isdigit() else w
-    for batch in batches:
-        if len(automaton.states) > STATES:
-            automaton.reset()
-        words = batch.column(0).to_pylist()
-        hits = pa.array([bool((automaton.match(w) or (0,))[0] or (automaton.match(plain(w)) if plain(w) != w else None)) for w in words], pa.bool_())
-        yield batch.filter(hits)
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reporting: frozenset[str] = REPORTING) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, of which held-out rows are already gone.
 
@@ -283,18 +277,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, report
     n = {(r.toxic, r.fold): r.n for r in sample.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = ([n.get((y, f), 0) for f in (0, 1)] for y in (1, 0))
     if not sum(pos) or not sum(neg):
-        return Model({t: 5.0 for t in SEED_TERMS}, {}, [], DEFAULT_COEF, reporting)
+        return Model({t: 5.0 for t in SEED_TERMS}, {}, np.zeros(0, np.int64), DEFAULT_COEF, reporting)
     counts = [F.coalesce(F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), 1)), F.lit(0)).alias(f"{name}{f}") for name, y in (("t", 1), ("n", 0)) for f in (0, 1)]
     found = space.keep(sample.mapInArrow(released(_keys), "toxic int, fold int, key string").groupBy("key").agg(*counts), "keys")
     apart = (F.col("t0") + F.col("t1")) / sum(pos) >= 2 * (F.col("n0") + F.col("n1")) / sum(neg)
     rows = sorted(found.where((F.col("t0") + F.col("t1") >= 3) & apart).collect(), key=lambda r: r.key)  # of the sample's words alone
     made = [lexicon([(r.key, t(r), n(r)) for r in rows], of_pos, of_neg) for t, n, of_pos, of_neg in (
         (lambda r: r.t0 + r.t1, lambda r: r.n0 + r.n1, sum(pos), sum(neg)), (lambda r: r.t1, lambda r: r.n1, pos[1], neg[1]), (lambda r: r.t0, lambda r: r.n0, pos[0], neg[0]))]
-    terms = sorted(set().union(*(found_terms for found_terms, _ in made)))
-    others = found.where((F.col("n0") + F.col("n1") >= 1) & ~F.col("key").startswith(" ")).select("key", "n0", "n1")
-    known = others.mapInArrow(released(lambda batches: _resembling(batches, terms)), "key string, n0 long, n1 long").collect() if terms else []
+    others = found.where((F.col("n0") + F.col("n1") >= 1) & ~F.col("key").startswith(" "))
+    known = others.select(F.xxhash64("key").alias("h"), "n0", "n1").toArrow()  # of the sample's words alone
+    h, n0, n1 = (known.column(k).to_numpy() for k in range(3))
     # the weights of the features are learned on rows whose half of the sample made neither the lexicon nor the known words
-    clean = [sorted(r.key for r in known if n(r)) for n in (lambda r: r.n0 + r.n1, lambda r: r.n1, lambda r: r.n0)]
+    clean = [np.sort(h[keep]) for keep in (n0 + n1 > 0, n1 > 0, n0 > 0)]
     model, *of_halves = (Model(found_terms, stems, words, reporting=reporting) for (found_terms, stems), words in zip(made, clean))
     halves = spark.sparkContext.broadcast(of_halves)
 
