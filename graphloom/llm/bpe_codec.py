@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merger, merger_of_ranks, ranks_of
-from .common import Workspace, ship
+from .common import Workspace, release, released, ship
 
 BLOCK_CHARS = 24_000_000
 CACHE_WORDS = 300_000
@@ -167,8 +167,10 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
                 ids = encoder.ids([text[a:b] for a, b in zip([0, *ends[:-1]], ends)])
                 out.append(_pack(*part[:4], *_planes(np.array([len(x) for x in ids])), *_planes(np.concatenate(ids))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "packed"])
+        encoder.cache.clear()  # other tasks have other words
 
     def reassemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         codes, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for packed in answers.column("packed"):
             part = _unpack(packed.as_py())
@@ -181,10 +183,10 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
         return pa.Table.from_batches([_lists(docs.column("doc_id").to_pylist(), out, doc_type)])
 
     space = Workspace(spark, "bpe")
-    split_docs = rows.mapInArrow(split, "block long, shard int, doc_id long, packed binary")
+    split_docs = rows.mapInArrow(released(split), "block long, shard int, doc_id long, packed binary")
     parted = space.keep_bucketed(split_docs, "split", "block", shards)
     asked = parted.where("shard >= 0").select("block", "shard", "packed").repartition("shard")
-    answered = asked.mapInArrow(answer, "block long, packed binary")
+    answered = asked.mapInArrow(released(answer), "block long, packed binary")
     # the split table is bucketed by block, so only the answers move
     met = parted.where("shard < 0").groupBy("block").cogroup(answered.groupBy("block"))
     return met.applyInArrow(reassemble, "doc_id long, ids array<int>")
@@ -236,7 +238,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*columns, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(released(run), f"{schema}, decoded binary")
 
 
 def ids_text(ids: str) -> Column:
