@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 from .anisotropic_ann import search
 from .bpe_codec import decode, encode, ids_text
 from .common import table
+from .fill_middle import SQL as FILL_SQL
+from .fill_middle import fill_middle, restore
 from .language_id import held_out, identify
 from .language_id import train as train_languages
+from .license_scan import license_scan
+from .license_scan import sql as license_sql
 from .line_dedup import line_dedup
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .ngram_join import join as ngram_join
+from .source_divergence import SQL as DIVERGENCE_SQL
+from .source_divergence import divergence
 from .suffix_dedup import suffix_dedup
 from .syncmers import fingerprints
 from .token_counts import token_counts
@@ -74,6 +80,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 5, 0)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle(table(spark, sf_dir, "documents"))
+    restored = restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -86,10 +106,16 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_divergence": op12_divergence,
+        "op13_licenses": op13_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix": MIX_SQL,
+        "op11_fill_middle": FILL_SQL,
+        "op12_divergence": DIVERGENCE_SQL,
+        "op13_licenses": license_sql(),
     }
