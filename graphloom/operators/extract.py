@@ -134,11 +134,12 @@ def quality(hits: DataFrame, least: int = 30, relevance: float = 0.05, most: int
     return hits.withColumn("reason", reason)
 
 
-def gather(hits: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """hits (query_no, rank, id, relevance_score) of many queries: each id once, where it came first; ids in done go."""
+def gather(hits: DataFrame, done: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """hits (query_no, rank, id, relevance_score) of many queries: each id once, where it came first; ids in done go; the most relevant first if ordered."""
     first = Window.partitionBy("id").orderBy("query_no", "rank")
     out = hits.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return out if done is None else out.join(done.select("id"), "id", "left_anti")
+    out = out if done is None else out.join(done.select("id"), "id", "left_anti")
+    return out.orderBy(F.col("relevance_score").desc(), "id") if ordered else out
 
 
 def capped(df: DataFrame) -> DataFrame:

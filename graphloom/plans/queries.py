@@ -781,6 +781,9 @@ def add_source_file(spark, sf):
     return N.add_source_file(n, first, "extra.md").select("id", F.array_join("source_files", ",").alias("files"))
 
 
+from . import further  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,15 +22,30 @@ def session(name: str = "graphloom", cpus: int | str = "*", shuffle_partitions:
     )
 
 
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir, or a new name below it. Unset, a local session gets a folder of its own; a cluster must set it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/") + (f"/{name}-{uuid.uuid4().hex}" if name else "")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as it is now, read from the shared checkpoint folder: later plans start there, and a lost executor costs no more than a re-read."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="graphloom-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again."""
+    at = shared_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
