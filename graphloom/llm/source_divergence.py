@@ -93,27 +93,32 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: s
     langs = groups.join(sums, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("s", "source", F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("g"))
     langs = langs.join(terms, "lang", "left").select("lang", F.coalesce("v", F.lit(0).cast("long")).alias("v"), F.col("g.source").alias("sources"), F.col("g.n").alias("ns"))
     langs = langs.withColumn("totals", F.transform("ns", lambda n: n + F.col("v"))).withColumn("total", F.aggregate("ns", F.col("v"), lambda a, n: a + n))
-    langs = space.keep(langs.select("lang", "v", "sources", "totals", "total"), "langs")  # one row a language; Spark broadcasts it where its size allows
-
-    # the wide rows: counts, and shares, by the source's place in its language
-    wide = kept.join(langs, "lang")
-    by_name = F.map_from_entries(F.col("found"))
-    wide = wide.withColumn("by_name", by_name).withColumn("counts", F.transform("sources", lambda s: F.coalesce(F.try_element_at("by_name", s), F.lit(0).cast("long"))))
-    wide = wide.select("lang", "term", "counts", F.zip_with("counts", "totals", _share).alias("p"), _share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n), F.col("total")).alias("q"))
+    langs = langs.withColumn("none", F.when(F.col("v") > 0, F.transform("totals", lambda t: _share(F.lit(0).cast("long"), t))))
+    langs = space.keep(langs.select("lang", "v", "sources", "totals", "none", "total"), "langs")  # one row a language; Spark broadcasts it where its size allows
+
+    # the wide rows: counts, and shares, by the source's place in its language; a source without the term has the share of none
+    wide = kept.join(langs, "lang").withColumn("by_name", F.map_from_entries("found"))
+    wide = wide.withColumn("counts", F.transform("sources", lambda s: F.coalesce(F.try_element_at("by_name", s), F.lit(0).cast("long"))))
+    shares = F.transform("counts", lambda n, i: F.when(n == 0, F.get("none", i)).otherwise(_share(n, F.get("totals", i))))
+    wide = wide.select("lang", "term", "counts", shares.alias("p"), _share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n), F.col("total")).alias("q"))
     wide = space.keep(wide, "wide")
 
-    each = wide.select("lang", "p", F.posexplode("p").alias("i", "x"))
-    each = each.select("lang", "i", F.posexplode(F.transform("p", lambda y: _gap(F.col("x"), y))).alias("j", "f")).where("i <> j")
-    pairs = each.groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))
-    none = langs.where("v = 0").select("lang", F.posexplode("sources").alias("i", "_s"), "sources")
-    none = none.select("lang", "i", F.posexplode("sources").alias("j", "_t")).where("i <> j").withColumn("value", F.lit(0).cast("long"))
-    pairs = pairs.unionByName(none.select("lang", "i", "j", "value")).join(langs.select("lang", "sources"), "lang")
-    pairs = pairs.select("lang", F.get("sources", F.col("i")).alias("source"), F.lit("pair").alias("part"), F.get("sources", F.col("j")).alias("item"), "value")
+    # two sources of which one has the term give one contribution each way; where neither has it, these are the same for every term
+    each = wide.select("lang", "counts", "p", F.posexplode("counts").alias("i", "n")).where("n > 0")
+    others = F.filter(F.sequence(F.lit(0), F.size("counts") - 1), lambda j: (j != F.col("i")) & ((F.get("counts", j) == 0) | (j > F.col("i"))))
+    x, y = F.get("p", F.col("i")), lambda j: F.get("p", j)
+    each = each.select("lang", "i", F.explode(F.transform(others, lambda j: F.struct(j.alias("j"), _gap(x, y(j)).alias("there"), _gap(y(j), x).alias("back")))).alias("e"))
+    sums = space.keep(each.groupBy("lang", "i", F.col("e.j").alias("j")).agg(F.sum("e.there").alias("there"), F.sum("e.back").alias("back"), F.count(F.lit(1)).alias("n")), "sums")
+    sums = sums.select("lang", "i", "j", F.col("there").alias("f"), "n").union(sums.select("lang", "j", "i", "back", "n")).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    pairs = langs.select("lang", "v", "sources", "none", F.posexplode("sources").alias("i", "source")).select("lang", "v", "none", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
+    rest = (F.col("v") - F.coalesce("n", F.lit(0))) * F.when(F.col("v") > 0, _gap(F.get("none", F.col("i")), F.get("none", F.col("j")))).otherwise(0)
+    pairs = pairs.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce("f", F.lit(0)) + rest).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
 
-    own = wide.select("lang", "term", "q", F.posexplode(F.arrays_zip("counts", "p")).alias("s", "e")).where((F.col("e.counts") > 0) & (F.col("e.p") > F.col("q")))
-    own = own.select("lang", "s", F.col("term").alias("item"), _gap(F.col("e.p"), F.col("q")).alias("value"))
+    more = F.filter(F.transform("counts", lambda n, i: F.struct(i.alias("s"), n.alias("n"), F.get("p", i).alias("p"))), lambda e: (e["n"] > 0) & (e["p"] > F.col("q")))
+    own = wide.select("lang", "term", "q", F.explode(more).alias("e")).select("lang", "term", "q", "e.s", "e.p")
+    own = own.select("lang", "s", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
     own = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "s").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
     own = own.join(groups, ["lang", "s"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(own)
