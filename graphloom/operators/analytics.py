@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
-from .traverse import degrees, isolated, undirected
-
-#: Edges and nodes that a single process takes at most for modularity communities; beyond, label propagation is used.
-LOCAL_EDGES = 2_000_000
+from ..session import cut
+from .centrality import betweenness
+from .communities import greedy_communities, louvain  # noqa: F401  part of this module's names
+from .traverse import isolated, undirected
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,64 +30,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = jumped.select("id", "component")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = False, pivots: int | None = None) -> DataFrame:
-    """id, score: Brandes' betweenness, endpoints excluded, scaled by the number of ordered or unordered pairs.
-
-    Sources are dealt over tasks; each task runs breadth-first searches over the adjacency, which is broadcast (as
-    arrays, so up to some hundred million edges). With pivots, only so many sources (by hash) are used and scaled up.
-    """
-    spark = nodes.sparkSession
-    ship(spark)
-    ids = nodes.select("id").distinct().orderBy("id").toPandas()["id"].tolist()
-    n = len(ids)
-    schema = nodes.select("id").schema.add("score", "double")
-    if n < 3:
-        return nodes.select("id", F.lit(0.0).alias("score"))
-    number = {x: k for k, x in enumerate(ids)}
-    pairs = (edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct() if directed else undirected(edges)).toPandas()
-    u, v = (pairs[c].map(number).to_numpy() for c in ("u", "v"))
-    if not directed:
-        u, v = np.concatenate([u, v]), np.concatenate([v, u])
-    order = np.argsort(u, kind="stable")
-    shared = spark.sparkContext.broadcast((np.searchsorted(u[order], np.arange(n + 1)), v[order]))
-    sources = list(range(n)) if pivots is None or pivots >= n else sorted(np.random.default_rng(1).choice(n, pivots, replace=False).tolist())
-    scale = (n / len(sources)) / ((n - 1) * (n - 2))  # an unordered pair is met from both ends
-
-    def run(frames):
-        starts, to = shared.value
-        total = np.zeros(n)
-        for frame in frames:
-            for s in frame["source"]:
-                dist = np.full(n, -1)
-                sigma = np.zeros(n)
-                dist[s], sigma[s] = 0, 1
-                seen, queue = [], deque([s])
-                before: dict[int, list[int]] = defaultdict(list)
-                while queue:
-                    x = queue.popleft()
-                    seen.append(x)
-                    for y in to[starts[x] : starts[x + 1]]:
-                        if dist[y] < 0:
-                            dist[y] = dist[x] + 1
-                            queue.append(y)
-                        if dist[y] == dist[x] + 1:
-                            sigma[y] += sigma[x]
-                            before[y].append(x)
-                delta = np.zeros(n)
-                for y in reversed(seen):
-                    for x in before[y]:
-                        delta[x] += sigma[x] / sigma[y] * (1 + delta[y])
-                    if y != s:
-                        total[y] += delta[y]
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"node": at, "part": total[at]})
-
-    parts = spark.createDataFrame(pd.DataFrame({"source": sources})).repartition(min(len(sources), 4 * spark.sparkContext.defaultParallelism))
-    sums = parts.mapInPandas(run, "node long, part double").groupBy("node").agg(F.sum("part").alias("part"))
-    names = spark.createDataFrame(pd.DataFrame({"node": range(n), "id": ids}))
-    return names.join(sums, "node", "left").select(F.col("id").cast(schema["id"].dataType), (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("score"))
-
-
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """id, community: each round every node takes the most frequent label around it, ties to the smaller; all at once, own label counted, so it settles."""
     pairs = undirected(edges)
@@ -108,125 +45,6 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> D
     return labels
 
 
-def _local(nodes: DataFrame, edges: DataFrame, solve) -> DataFrame:
-    pairs = undirected(edges)
-    if (n := pairs.count()) > LOCAL_EDGES:
-        raise ValueError(f"{n} edges: this algorithm runs in one process, on at most {LOCAL_EDGES}; label_propagation has no such bound but finds other communities")
-    ids = nodes.select("id").distinct().orderBy("id").toPandas()["id"].tolist()
-    number = {x: k for k, x in enumerate(ids)}
-    found = pairs.orderBy("u", "v").toPandas()
-    of = solve(len(ids), [(number[a], number[b]) for a, b in zip(found["u"], found["v"])])
-    kind = nodes.schema["id"].dataType
-    return nodes.sparkSession.createDataFrame([(ids[k], ids[c]) for k, c in enumerate(of)], f"id {kind.simpleString()}, community {kind.simpleString()}")
-
-
-def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, community (its smallest id): joins the two communities that raise modularity most, ties to the smallest ids, until none does.
-
-    Inherently sequential, so done in one process; more than LOCAL_EDGES edges are an error.
-    """
-
-    def solve(n, pairs):
-        m = len(pairs)
-        own = list(range(n))
-        if not m:
-            return own
-        between: list[dict[int, int]] = [defaultdict(int) for _ in range(n)]
-        degree = [0] * n
-        for a, b in pairs:
-            between[a][b] += 1
-            between[b][a] += 1
-            degree[a] += 1
-            degree[b] += 1
-        import heapq
-
-        gain = lambda a, b: between[a][b] / m - degree[a] * degree[b] / (2 * m * m)
-        heap = [(-gain(a, b), a, b) for a in range(n) for b in between[a] if a < b]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            g, a, b = heapq.heappop(heap)
-            if not (alive[a] and alive[b]) or b not in between[a] or abs(-g - gain(a, b)) > 1e-15:
-                continue
-            if -g <= 1e-15:
-                break
-            alive[b] = False
-            own[b] = a
-            degree[a] += degree[b]
-            for c, x in between[b].items():
-                del between[c][b]
-                if c != a:
-                    between[a][c] += x
-                    between[c][a] += x
-            between[b] = defaultdict(int)
-            for c in list(between[a]):
-                heapq.heappush(heap, (-gain(a, c), min(a, c), max(a, c)))
-
-        def top(x):
-            while own[x] != x:
-                own[x] = own[own[x]]
-                x = own[x]
-            return x
-
-        return [top(x) for x in range(n)]
-
-    return _local(nodes, edges, solve)
-
-
-def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, community: rounds of local moves by modularity gain in the order of ids, then the communities as nodes, until nothing moves. Bounds as greedy_communities."""
-
-    def solve(n, pairs):
-        weight: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-        for a, b in pairs:
-            weight[a][b] += 1
-            weight[b][a] += 1
-        m2 = 2.0 * len(pairs)
-        of = list(range(n))
-        loops = [0.0] * n
-        level = list(range(n))
-        while m2:
-            size = len(weight)
-            at = list(range(size))
-            degree = [sum(weight[k].values()) + loops[k] for k in range(size)]
-            total = degree[:]
-            moved = again = True
-            moved = False
-            while again:
-                again = False
-                for k in range(size):
-                    near: dict[int, float] = defaultdict(float)
-                    for j, w in weight[k].items():
-                        near[at[j]] += w
-                    total[at[k]] -= degree[k]
-                    best = max(sorted(set(near) | {at[k]}), key=lambda c: (round(near[c] - total[c] * degree[k] / m2, 12), c == at[k]))
-                    if best != at[k]:
-                        at[k], again, moved = best, True, True
-                    total[at[k]] += degree[k]
-            if not moved:
-                break
-            names = {c: i for i, c in enumerate(sorted(set(at)))}
-            level = [names[at[x]] for x in level]
-            new: list[dict[int, float]] = [defaultdict(float) for _ in names]
-            inner = [0.0] * len(names)
-            for k in range(size):
-                inner[names[at[k]]] += loops[k]
-                for j, w in weight[k].items():
-                    a, b = names[at[k]], names[at[j]]
-                    if a == b:
-                        inner[a] += w
-                    else:
-                        new[a][b] += w
-            weight, loops = new, inner
-        first: dict[int, int] = {}
-        for x in range(n):
-            first.setdefault(level[x], x)
-            of[x] = first[level[x]]
-        return of
-
-    return _local(nodes, edges, solve)
-
-
 def modularity(communities: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: modularity of a partition (id, community)."""
     pairs = undirected(edges)
@@ -299,8 +117,8 @@ def detect_gaps(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     comp = components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     first = lambda df, order, c: df.orderBy(*order).limit(top).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(c).cast("string").alias("_v")))).alias("rows")).select(F.transform("rows", lambda r: r["_v"]))
     isolates = lone.orderBy("id").limit(top).agg(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")).alias("isolated_nodes"))
-    bridge = betweenness(nodes, edges).where("score > 0").orderBy(F.col("score").desc(), "id").limit(top)
-    bridges = bridge.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("o"), "id"))), lambda r: r["id"].cast("string")).alias("bridge_nodes"))
+    bridge = betweenness(nodes, edges).select("id", F.round("score", 9).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "id").limit(top)
+    bridges = bridge.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id"))), lambda r: r["id"].cast("string")).alias("bridge_nodes"))
     count = lone.agg(F.count(F.lit(1)).alias("isolated_count"))
     sizes = comp.agg(F.count(F.lit(1)).alias("disconnected_clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_cluster_size"))
     totals = nodes.select("id").distinct().agg(F.count(F.lit(1)).alias("total_nodes")).crossJoin(undirected(edges).agg(F.count(F.lit(1)).alias("total_edges")))

@@ -285,12 +285,12 @@ def component_sizes(spark, sf):
 
 @query()
 def betweenness_round6(spark, sf):
-    return A.betweenness(*graph(spark, sf)).withColumn("score", F.round("score", 6))
+    return A.betweenness(*graph(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 @query()
 def bridges_top10(spark, sf):
-    return A.betweenness(*graph(spark, sf)).where("score > 0").withColumn("score", F.round("score", 9)).orderBy(F.col("score").desc(), "id").limit(10)
+    return A.betweenness(*graph(spark, sf)).select("id", F.round("score", 9).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "id").limit(10)
 
 
 PART_SQL = GRAPH_SQL + ", c as (select vec_id as id, label::bigint as community from embeddings), ends as (select x.community as cu, y.community as cv from alike s join c x on x.id = s.a join c y on y.id = s.b)"

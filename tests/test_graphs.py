@@ -76,14 +76,3 @@ def test_parallel_edges_and_loops(spark):
     e = e.union(spark.createDataFrame([("a", "b", "S", 2.0)], e.schema))
     assert G.undirected(e).count() == 1 and G.strongest_of_each(e).count() == 3 and G.full_graph_edges(e).count() == 2
     assert G.isolated(n, e).count() == 0
-
-
-def test_large_graphs_fail_instead_of_another_algorithm(spark, monkeypatch):
-    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
-    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x")], "src string, dst string, rel_type string")
-    monkeypatch.setattr(A, "LOCAL_EDGES", 1)
-    for solve in (A.louvain, A.greedy_communities):
-        with pytest.raises(ValueError, match="2 edges"):
-            solve(nodes, edges)
-    monkeypatch.setattr(A, "LOCAL_EDGES", 2)
-    assert A.louvain(nodes, edges).count() == 3
