@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REFERENCES, WORD4
+from ..session import kept
 from .traverse import endpoints_exist, strongest_of_each
 from .vectors import nearest
 
@@ -38,28 +39,42 @@ def explicit_references(texts: DataFrame, rules=REFERENCES) -> DataFrame:
     return runs.join(known, "fragment").where("src <> dst").select("src", "dst", "rel_type", "weight").distinct()
 
 
-def word_overlap(left: DataFrame, right: DataFrame, above: float = 0.3, cap: float = 0.8, rel_type: str = "IMPLEMENTS") -> DataFrame:
+SPLIT = 20_000  # texts of one word that meet in one place
+
+
+def word_overlap(left: DataFrame, right: DataFrame, above: float = 0.3, cap: float = 0.8, rel_type: str = "IMPLEMENTS", split: int = SPLIT) -> DataFrame:
     """Edges left -> right whose sets of words of four letters and more have a Jaccard similarity above the bound; weight is the similarity, capped.
 
-    Exact by prefix filtering: a pair over the bound must share one of the first |words| - ceil(bound * |words|) + 1
-    words of both, rarest first, so only those are joined, and frequent words meet only where texts are short.
+    Exact, without comparing all pairs. Words are numbered from rare to frequent and each set is sorted. Sets of sizes n >= m over the
+    bound share more than bound / (1 + bound) * (n + m) words, so they share one among the first n - bound * n of the longer and
+    the first m - 2 * bound / (1 + bound) * m of the shorter: only these are joined. A shared word at places p and q leaves at most
+    min(p, q) + 1 + min(n - p, m - q) - 1 in common, and so do all that a pair shares there, counted, with what lies behind the last: pairs
+    that cannot reach the bound go before their sets are fetched. A word of very many texts is split: one side in parts, the other repeated for each.
     """
-    def sets(df, name):
-        return df.select(F.col("id").alias(name), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD4), F.lit(0))).alias("words")).where(F.size("words") > 0)
-
-    a, b = sets(left, "src"), sets(right, "dst")
-    counts = a.select(F.explode("words").alias("word")).union(b.select(F.explode("words"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-    def prefixes(df, name):
-        rows = df.select(name, F.size("words").alias("size"), F.explode("words").alias("word")).join(counts, "word")
-        rank = F.row_number().over(Window.partitionBy(name).orderBy("n", "word"))
-        return rows.withColumn("k", rank).where(F.col("k") <= F.col("size") - F.ceil(F.lit(above) * F.col("size")) + 1).select(name, "word", F.col("size").alias(f"n_{name}"))
-
-    x, y = prefixes(a, "src"), prefixes(b, "dst")
-    pairs = x.join(y, "word").where((F.col("src") != F.col("dst")) & (F.least("n_src", "n_dst") > above * F.greatest("n_src", "n_dst"))).select("src", "dst").distinct()
-    both = pairs.join(a, "src").join(b.withColumnRenamed("words", "others"), "dst")
-    shared = F.size(F.array_intersect("words", "others"))
-    scored = both.select("src", "dst", (shared / (F.size("words") + F.size("others") - shared)).alias("j")).where(F.col("j") > above)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD4), F.lit(0)))
+    side = lambda df, s: df.select(F.lit(s).alias("side"), F.col("id"), words.alias("words")).where(F.size("words") > 0)
+    sets = side(left, 0).unionByName(side(right, 1)).select("side", "id", F.explode("words").alias("word"))
+    known = sets.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "word").select("word", F.monotonically_increasing_id().alias("t"), F.ceil(F.col("n") / split).cast("int").alias("parts"))
+    known = kept(known, "words")
+    coded = sets.join(known, "word").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("t", "parts"))).alias("set"))  # no longer than a text's words
+    coded = kept(coded.withColumn("n", F.size("set")), "sets")
+
+    longer = F.col("n") - F.ceil(above * F.col("n") - 1e-9).cast("int") + 1
+    first = coded.select("side", "id", "n", F.posexplode(F.slice("set", F.lit(1), longer)).alias("p", "w"))
+    salt = F.pmod(F.xxhash64("id"), F.col("w.parts")).cast("int")
+    x = first.where("side = 0").select(F.col("id").alias("src"), F.col("n").alias("n_src"), F.col("p").alias("p_src"), "w.t", salt.alias("salt"))
+    y = first.where("side = 1").select(F.col("id").alias("dst"), F.col("n").alias("n_dst"), F.col("p").alias("p_dst"), "w.t", F.explode(F.sequence(F.lit(0), F.col("w.parts") - 1)).alias("salt"))
+    least = F.floor(above / (1 + above) * (F.col("n_src") + F.col("n_dst")) - 1e-9) + 1
+    behind = F.least(F.col("n_src") - F.col("p_src"), F.col("n_dst") - F.col("p_dst")) - 1
+    shorter = lambda n: n - F.ceil(2 * above / (1 + above) * n - 1e-9) + 1
+    early = F.when(F.col("n_src") <= F.col("n_dst"), F.col("p_src") < shorter(F.col("n_src"))).otherwise(F.col("p_dst") < shorter(F.col("n_dst")))
+    alike = F.least("n_src", "n_dst") > above * F.greatest("n_src", "n_dst")
+    met = x.join(y, ["t", "salt"]).where((F.col("src") != F.col("dst")) & alike & early & (F.least("p_src", "p_dst") + 1 + behind >= least))
+    pairs = met.groupBy("src", "dst", "n_src", "n_dst").agg(F.count(F.lit(1)).alias("c"), F.max("p_src").alias("p_src"), F.max("p_dst").alias("p_dst")).where(F.col("c") + behind >= least)
+    numbers = lambda s, i, name: coded.where(F.col("side") == s).select(F.col("id").alias(i), F.col("set.t").alias(name))
+    both = pairs.join(numbers(0, "src", "a"), "src").join(numbers(1, "dst", "b"), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    scored = both.select("src", "dst", (shared / (F.col("n_src") + F.col("n_dst") - shared)).alias("j")).where(F.col("j") > above)
     return scored.select("src", "dst", F.lit(rel_type).alias("rel_type"), F.least("j", F.lit(cap)).alias("weight"))
 
 
