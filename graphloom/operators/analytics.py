@@ -58,8 +58,42 @@ def modularity(communities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def community_summary(communities: DataFrame, top: int = 10, sample: int = 5) -> DataFrame:
+    """community, size, first_id, sample_nodes (its first ids) of the largest communities."""
     found = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id"))
-    return found.orderBy(F.col("size").desc(), "community").limit(top)
+    found = found.orderBy(F.col("size").desc(), "community").limit(top)
+    return found.join(samples(communities.join(found.select("community"), "community", "left_semi"), sample), "community").orderBy(F.col("size").desc(), "community")
+
+
+def samples(communities: DataFrame, n: int = 5) -> DataFrame:
+    """community, sample_nodes: the first n ids of each; no more are brought together."""
+    first = communities.withColumn("_k", F.row_number().over(Window.partitionBy("community").orderBy("id"))).where(F.col("_k") <= n)
+    return first.groupBy("community").agg(F.array_sort(F.collect_list("id")).alias("sample_nodes"))
+
+
+def weak_members(communities: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, community, missing: nodes that lack an edge to others of their community, and to how many."""
+    size = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    c = lambda side: communities.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
+    inner = undirected(edges).join(c("u"), "u").join(c("v"), "v").where("c_u = c_v").select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("inner"))
+    found = communities.join(size, "community").join(inner, "id", "left").withColumn("missing", F.col("size") - 1 - F.coalesce("inner", F.lit(0)))
+    return found.where("missing > 0").select("id", "community", "missing")
+
+
+def cluster_gaps(communities: DataFrame, edges: DataFrame, least: int = 2, weak: int = 2, sample: int = 5) -> DataFrame:
+    """community_pair_gaps with size and first ids of both communities."""
+    known = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).join(samples(communities, sample), "community")
+    of = lambda k: known.select(F.col("community").alias(f"c{k}"), F.col("size").alias(f"size{k}"), F.col("sample_nodes").alias(f"sample{k}"))
+    return community_pair_gaps(communities, edges, least, weak).join(of(1), "c1").join(of(2), "c2")
+
+
+def severities(gaps: DataFrame) -> DataFrame:
+    """gap_type, severity, n."""
+    return gaps.groupBy("gap_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def critical(gaps: DataFrame, order: list[str], severity: str = "HIGH", n: int = 10) -> DataFrame:
+    """The first n gaps of a severity."""
+    return gaps.where(F.col("severity") == severity).orderBy(*order).limit(n)
 
 
 def weak_connections(communities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,15 +160,50 @@ def detect_gaps(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     return row.withColumn("avg_degree", F.round(F.coalesce(F.try_divide(2 * F.col("total_edges"), F.col("total_nodes")), F.lit(0.0)), 2)).withColumn("connectivity", F.round(1 - F.coalesce(F.try_divide("isolated_count", "total_nodes"), F.lit(0.0)), 3))
 
 
-def gap_reports(nodes: DataFrame, edges: DataFrame, bridge_above: float = 0.1, least: int = 2) -> DataFrame:
-    """gap_type, affected_nodes, severity, recommendation, metrics: isolated nodes, components of two or more, bridges."""
-    text = F.col("id").cast("string")
-    lone = isolated(nodes, edges).agg(F.array_sort(F.collect_list(text)).alias("affected_nodes")).where(F.size("affected_nodes") > 0)
-    lone = lone.select(F.lit("isolated_nodes").alias("gap_type"), "affected_nodes", F.when(F.size("affected_nodes") > 5, "CRITICAL").otherwise("HIGH").alias("severity"), F.lit("Connect isolated nodes to related knowledge").alias("recommendation"), F.create_map(F.lit("count"), F.size("affected_nodes").cast("double")).alias("metrics"))
-    comp = cut(components(nodes, edges).groupBy("component").agg(F.array_sort(F.collect_list(text)).alias("affected_nodes")).where(F.size("affected_nodes") >= least))
-    several = comp.agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    parts = comp.join(F.broadcast(several), F.lit(True)).select(F.lit("disconnected_clusters"), "affected_nodes", F.lit("HIGH"), F.lit("Bridge this cluster to the others"), F.create_map(F.lit("size"), F.size("affected_nodes").cast("double")))
-    high = betweenness(nodes, edges).where(F.col("score") > bridge_above)
-    bridges = high.agg(F.array_sort(F.collect_list(text)).alias("affected_nodes"), F.avg("score").alias("avg")).where(F.size("affected_nodes") > 0)
-    bridges = bridges.select(F.lit("bridge_nodes"), "affected_nodes", F.lit("MEDIUM"), F.lit("Add paths around bridge nodes"), F.create_map(F.lit("avg_betweenness"), F.col("avg")))
-    return lone.union(parts).union(bridges)
+def gap_members(nodes: DataFrame, edges: DataFrame, bridge_above: float = 0.1, least: int = 2, communities: DataFrame | None = None) -> DataFrame:
+    """gap_type, part, id, measure: every node that a report is about, one row each.
+
+    isolated_nodes; disconnected_clusters (parts are components of `least` nodes or more, if there are several); bridge_nodes (measure is betweenness);
+    weak_connections, given communities (part is the community, measure the number of edges that lack).
+    """
+    kind = nodes.schema["id"].dataType
+    none = F.lit(None).cast(kind)
+    row = lambda df, name, part, measure: df.select(F.lit(name).alias("gap_type"), part.cast(kind).alias("part"), "id", measure.cast("double").alias("measure"))
+    lone = row(isolated(nodes.select("id").distinct(), edges), "isolated_nodes", none, F.lit(None))
+    comp = cut(components(nodes, edges))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    several = sizes.agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    parts = comp.join(sizes.join(F.broadcast(several), F.lit(True)), "component")  # one row
+    bridges = betweenness(nodes, edges).where(F.col("score") > bridge_above)
+    out = lone.union(row(parts, "disconnected_clusters", F.col("component"), F.lit(None))).union(row(bridges, "bridge_nodes", none, F.col("score")))
+    if communities is not None:
+        out = out.union(row(weak_members(communities, edges), "weak_connections", F.col("community"), F.col("missing")))
+    return out
+
+
+def gap_reports(nodes: DataFrame, edges: DataFrame, bridge_above: float = 0.1, least: int = 2, communities: DataFrame | None = None, listed: int = 1000) -> DataFrame:
+    """gap_type, affected_nodes, severity, recommendation, metrics: isolated nodes, components of two or more, bridges, and, given communities, edges that lack inside them.
+
+    affected_nodes holds the first `listed` ids in their order, metrics their number; gap_members has them all as rows.
+    """
+    members = cut(gap_members(nodes, edges, bridge_above, least, communities))
+    by = ["gap_type", "part"]
+    weak = F.col("gap_type") == "weak_connections"
+    members = members.withColumn("part", F.when(~weak, F.col("part")))  # one report for all communities
+    first = members.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("_k") <= listed)
+    first = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")).alias("affected_nodes"))
+    sums = members.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("measure").alias("s"), F.avg("measure").alias("a"))
+    both = sums.join(first, (sums.gap_type == first.gap_type) & sums.part.eqNullSafe(first.part)).select(sums.gap_type, "affected_nodes", "n", "s", "a")
+    is_ = lambda name: F.col("gap_type") == name
+    severity = F.when(is_("isolated_nodes"), F.when(F.col("n") > 5, "CRITICAL").otherwise("HIGH")).when(is_("disconnected_clusters"), "HIGH").when(is_("bridge_nodes"), "MEDIUM").otherwise("LOW")
+    lacking = (F.col("s") / 2).cast("long").cast("string")
+    advice = (
+        F.when(is_("isolated_nodes"), "Connect isolated nodes to related knowledge").when(is_("disconnected_clusters"), "Bridge this cluster to the others").when(is_("bridge_nodes"), "Add paths around bridge nodes")
+        .otherwise(F.concat(F.lit("Add "), lacking, F.lit(" missing connections within communities")))
+    )
+    pair = lambda k, v: F.create_map(F.lit(k), v)
+    metrics = (
+        F.when(is_("isolated_nodes"), pair("count", F.col("n"))).when(is_("disconnected_clusters"), pair("size", F.col("n")))
+        .when(is_("bridge_nodes"), F.map_concat(pair("avg_betweenness", F.col("a")), pair("count", F.col("n")))).otherwise(F.map_concat(pair("potential_connections", F.col("s") / 2), pair("count", F.col("n"))))
+    )
+    return both.select("gap_type", "affected_nodes", severity.alias("severity"), advice.alias("recommendation"), metrics.alias("metrics"))

@@ -89,6 +89,30 @@ def any_property(df: DataFrame, text: str) -> DataFrame:
     return df.where(hit)
 
 
+def with_neighbours(hits: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hits (id) with rel_type and neighbour of each edge that leads from them to a node; hits without one once, with nulls."""
+    out = edges.select(F.col("src").alias("id"), "rel_type", F.col("dst").alias("neighbour")).join(nodes.select(F.col("id").alias("neighbour")).distinct(), "neighbour", "left_semi")
+    return hits.join(out, "id", "left")
+
+
+def having(nodes: DataFrame, kind: str | None = None, **conditions) -> DataFrame:
+    """Nodes, of one type if named, whose properties hold a text (`field_has="text"`, case counts), are one of some values (`field_in=[...]`) or equal one (`field=...`)."""
+    out = nodes if kind is None else nodes.where(F.col("type") == kind)
+    for name, v in conditions.items():
+        if name.endswith("_has"):
+            out = out.where(F.contains(F.col(name[:-4]), F.lit(v)))
+        elif name.endswith("_in"):
+            out = out.where(F.col(name[:-3]).isin(list(v)))
+        else:
+            out = out.where(F.col(name) == v)
+    return out
+
+
+def recent(nodes: DataFrame, kind: str, n: int = 5) -> DataFrame:
+    """The last n nodes of a type, the newest first."""
+    return nodes.where(F.col("type") == kind).orderBy(F.col("timestamp").desc_nulls_last(), "id").limit(n)
+
+
 def timeline(nodes: DataFrame, start: str, end: str, topic: str = "", most: int = 1000, limit_first: bool = False) -> DataFrame:
     """timestamp, type, id, content of nodes within the times (both included) that hold the topic, oldest first.
 

@@ -80,6 +80,35 @@ def chains(edges: DataFrame, rel_type: str, most: int = 3) -> DataFrame:
     return out.withColumn("length", F.size("path") - 1)
 
 
+def all_paths(edges: DataFrame, start: str, end: str, most: int = 3, directed: bool = False) -> DataFrame:
+    """path (ids), types, length for each path of 1 to `most` edges of any type between two ids that meets no node twice, parallel edges of unlike types apart.
+
+    Half of each path is walked from either end and the halves are joined where they meet, so the work is that of the halves' number, not of all walks
+    of full length from one end.
+    """
+    spark = edges.sparkSession
+    links = (edges if directed else symmetric(edges.select("src", "dst", "rel_type"))).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type").distinct()
+    links = cut(links)
+
+    def halves(at: str, stop: str, steps: int, back: bool) -> list[DataFrame]:
+        out = [spark.createDataFrame([(at, [at], [])], "at string, path array<string>, types array<string>")]
+        near, far = ("b", "a") if back else ("a", "b")
+        for _ in range(steps):
+            step = out[-1].where(F.col("at") != stop).join(links, F.col("at") == F.col(near)).where(~F.array_contains("path", F.col(far)))
+            out.append(cut(step.select(F.col(far).alias("at"), F.array_append("path", F.col(far)).alias("path"), F.array_append("types", F.col("rel_type")).alias("types"))))
+        return out
+
+    ahead, behind = halves(start, end, (most + 1) // 2, False), halves(end, start, most // 2, True)
+    found = None
+    for n in range(1, most + 1):
+        a = ahead[(n + 1) // 2]
+        b = behind[n // 2].select("at", F.slice(F.reverse("path"), 2, most).alias("rest"), F.reverse("types").alias("rest_types"))
+        met = a.join(b, "at").where(~F.arrays_overlap("path", "rest"))
+        met = met.select(F.concat("path", "rest").alias("path"), F.concat("types", "rest_types").alias("types"), F.lit(n).alias("length"))
+        found = met if found is None else found.union(met)
+    return found
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 5) -> DataFrame:
     """path (array of ids), length: the first of the shortest paths by the order of its ids; no row if there is none within `most` steps."""
     spark = edges.sparkSession

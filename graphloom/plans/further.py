@@ -6,11 +6,20 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..operators import analytics as A
+from ..operators import connectivity as CN
 from ..operators import extract as E
+from ..operators import search as Q
+from ..operators import substring as SS
+from ..operators import traverse as G
 from ..session import shared_folder
 from ..sources import driver_tables as S
 from ..sources import paged as P
-from .queries import WORDS, query
+from ..sources.driver_tables import EDGES_SQL, NODES_SQL, THINGS_SQL
+from .queries import GRAPH_SQL, PART_SQL, WORDS, graph, parts, query
+
+#: SQL of queries that are registered elsewhere.
+SQL: dict[str, str] = {}
 
 # ---- paged stores and search services
 
@@ -66,3 +75,103 @@ def search_service_gather(spark, sf):
     number = F.array_position(F.array(*map(F.lit, WORDS)), F.col("query"))
     first = E.gather(found.select(number.alias("query_no"), F.col("place").alias("rank"), F.col("conversation_id").alias("id"), "relevance_score", "query", "place", "source"), ordered=True)
     return first.select("id", "query", "place", "source", F.round("relevance_score", 9).alias("relevance"))
+
+
+# ---- centrality, connectivity, gaps
+
+#: Numbers of walks of each length are summed until the longest shortest path is behind; the first length at which a pair has any is its distance, and their number that of its shortest paths.
+BETWEEN_SQL = (
+    "with recursive " + GRAPH_SQL + """, n as (select count(*) as n from embeddings),
+walk(s, v, d, w) as (select vec_id, vec_id, 0, 1.0::double from embeddings union all select s, l.b, d + 1, sum(w) from walk join links l on l.a = walk.v where d < 64 group by s, l.b, d + 1),
+far as (select s, v, min(d) as d, arg_min(w, d) as w from walk group by s, v),
+mid as (select a.v as id, sum(a.w * b.w / c.w) as score from far a join far b on a.v = b.s join far c on c.s = a.s and c.v = b.v where a.s <> a.v and b.v <> a.v and a.s <> b.v and a.d + b.d = c.d group by a.v),
+between_ as (select vec_id as id, coalesce(score, 0.0::double) / ((n - 1) * (n - 2)) as score from embeddings left join mid on vec_id = id, n)"""
+)
+SQL["betweenness_round6"] = BETWEEN_SQL + " select id, round(score, 6) as score from between_"
+SQL["bridges_top10"] = BETWEEN_SQL + ", r as (select id, round(score, 9) as score from between_ where score > 0) select id, score from r order by score desc, id limit 10"
+GAPS_SQL = BETWEEN_SQL + """, reach as (select s as id, min(v) as component from far group by s), comp as (select component, count(*) as size from reach group by 1),
+lone as (select vec_id as id from embeddings where vec_id not in (select a from links)), bridge as (select id, round(score, 9) as score from between_ where round(score, 9) > 0 order by 2 desc, 1 limit 10)"""
+SQL["detect_gaps_summary"] = GAPS_SQL + """ select (select coalesce(string_agg(id::varchar, ',' order by id), '') from (select id from lone order by id limit 10)) as isolated_nodes, (select count(*) from lone) as isolated_count,
+(select count(*) from comp) as disconnected_clusters, (select max(size) from comp) as largest_cluster_size, (select coalesce(string_agg(id::varchar, ',' order by score desc, id), '') from bridge) as bridge_nodes,
+(select n from n) as total_nodes, (select count(*) from alike) as total_edges, round(2.0::double * (select count(*) from alike) / (select n from n), 2) as avg_degree, round(1 - (select count(*) from lone)::double / (select n from n), 3) as connectivity"""
+REPORTS_SQL = GAPS_SQL + """, high as (select count(*) as k from between_ where score > 0.1),
+reports as (select 'isolated_nodes' as gap_type, case when count(*) > 5 then 'CRITICAL' else 'HIGH' end as severity, count(*)::int as affected, 'Connect isolated nodes to related knowledge' as recommendation from lone having count(*) > 0
+union all select 'disconnected_clusters', 'HIGH', size::int, 'Bridge this cluster to the others' from comp where size >= 2 and (select count(*) from comp where size >= 2) > 1
+union all select 'bridge_nodes', 'MEDIUM', k::int, 'Add paths around bridge nodes' from high where k > 0)"""
+SQL["gap_reports"] = REPORTS_SQL + " select * from reports"
+
+
+@query(REPORTS_SQL + """, c as (select vec_id as id, label::bigint as community from embeddings), size as (select community, count(*) as n from c group by 1),
+inner_ as (select x.id, count(*) as k from c x join links l on l.a = x.id join c y on y.id = l.b and y.community = x.community group by 1),
+weak as (select c.id, size.n - 1 - coalesce(k, 0) as missing from c join size using (community) left join inner_ on inner_.id = c.id where size.n - 1 - coalesce(k, 0) > 0),
+all_ as (select gap_type, severity, affected from reports union all select 'weak_connections', 'LOW', count(*)::int from weak having count(*) > 0) select gap_type, severity, count(*) as n, sum(affected)::bigint as affected from all_ group by 1, 2""")
+def gap_severities(spark, sf):
+    """Reports with those on edges that lack inside given communities, by kind."""
+    reports = A.gap_reports(*graph(spark, sf), communities=parts(spark, sf))
+    affected = F.coalesce(F.col("metrics")["count"], F.col("metrics")["size"]).cast("long")
+    sums = reports.groupBy("gap_type").agg(F.sum(affected).alias("affected"))
+    return A.severities(reports).join(sums, "gap_type")
+
+
+@query(f"with {PART_SQL}, size as (select community, count(*) as n from c group by 1), inner_ as (select x.id, count(*) as k from c x join links l on l.a = x.id join c y on y.id = l.b and y.community = x.community group by 1) select c.id, c.community, n - 1 - coalesce(k, 0) as missing from c join size using (community) left join inner_ on inner_.id = c.id where n - 1 - coalesce(k, 0) > 0")
+def weak_members(spark, sf):
+    return A.weak_members(parts(spark, sf), S.vector_edges(spark, sf))
+
+
+@query("select label::bigint as community, count(*) as size, array_to_string(list_sort(list(vec_id))[1:5], ',') as sample from embeddings group by 1 order by size desc, community limit 10")
+def community_samples(spark, sf):
+    return A.community_summary(parts(spark, sf)).select("community", "size", F.array_join(F.col("sample_nodes").cast("array<string>"), ",").alias("sample"))
+
+
+@query(f"with {PART_SQL}, s as (select community, count(*) as size, array_to_string(list_sort(list(id))[1:5], ',') as sample from c group by 1), b as (select least(cu, cv) as c1, greatest(cu, cv) as c2, count(*) as edges from ends where cu <> cv group by 1, 2) select x.community as c1, y.community as c2, coalesce(edges, 0) as edges, case when coalesce(edges, 0) = 0 then 'HIGH' else 'MEDIUM' end as severity, x.size as size1, y.size as size2, x.sample as sample1, y.sample as sample2 from s x join s y on x.community < y.community left join b on b.c1 = x.community and b.c2 = y.community where x.size >= 2 and y.size >= 2 and coalesce(edges, 0) <= 3 order by c1, c2 limit 10")
+def critical_cluster_gaps(spark, sf):
+    """The first ten gaps of high severity, or fewer connections than four, between communities, with what they hold."""
+    gaps = A.cluster_gaps(parts(spark, sf), S.vector_edges(spark, sf), weak=3).drop("gap_type")
+    return gaps.withColumns({f"sample{k}": F.array_join(F.col(f"sample{k}").cast("array<string>"), ",") for k in (1, 2)}).orderBy("c1", "c2").limit(10)
+
+
+@query()
+def node_connectivity(spark, sf):
+    return CN.average_node_connectivity(*graph(spark, sf)).withColumn("average", F.round("average", 9))
+
+
+# ---- paths and properties
+
+ENDS_SQL = "like_ as (select src as a, dst as b from edges where rel_type = 'SEMANTICALLY_SIMILAR' union all select dst, src from edges where rel_type = 'SEMANTICALLY_SIMILAR'), ends_ as (select x.a, x.b from like_ x join like_ y on y.a = x.a join like_ z on z.a = y.b and z.b = x.b order by x.a, x.b limit 1)"
+
+
+@query(f"with recursive {EDGES_SQL}, {ENDS_SQL}, both_ as (select distinct src, dst, rel_type from (select src, dst, rel_type from edges union all select dst, src, rel_type from edges)), p(here, path, types) as (select a, [a], []::varchar[] from ends_ union all select e.dst, list_append(path, e.dst), list_append(types, e.rel_type) from p join both_ e on e.src = p.here where len(path) <= 6 and not list_contains(path, e.dst) and p.here <> (select b from ends_)) select array_to_string(path, '>') as path, array_to_string(types, '>') as types, (len(path) - 1)::int as length from p where here = (select b from ends_)")
+def all_paths_between(spark, sf):
+    """All paths of up to six edges between the first two alike vectors that are both like a third."""
+    e = S.edges(spark, sf)
+    like = G.symmetric(G.typed(e, "SEMANTICALLY_SIMILAR")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    third = like.select("a", F.col("b").alias("c")).join(like.select(F.col("a").alias("c"), "b"), "c")
+    ends = like.join(third, ["a", "b"]).orderBy("a", "b").first()
+    return G.all_paths(e, ends.a, ends.b, 6).select(F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"), "length")
+
+
+@query(f"with {THINGS_SQL}, {EDGES_SQL}, hit as (select id, type from things where contains(id, '1:') or contains(type, '1:') or contains(label, '1:')) select hit.id, hit.type, e.rel_type, e.dst as neighbour from hit left join (select * from edges where dst in (select id from things)) e on e.src = hit.id")
+def any_property_neighbours(spark, sf):
+    things = S.things(spark, sf)
+    return Q.with_neighbours(Q.any_property(things, "1:").select("id", "type"), S.edges(spark, sf), things)
+
+
+@query(f"with {NODES_SQL} select id, type, source from nodes where (type = 'Pattern' and contains(name, 'tion') and source in ('fr', 'de')) or id in (select id from nodes where type = 'Failure' order by timestamp desc, id limit 5)")
+def property_conditions(spark, sf):
+    n = S.nodes(spark, sf)
+    return Q.having(n, "Pattern", name_has="tion", source_in=["fr", "de"]).unionByName(Q.recent(n, "Failure")).select("id", "type", "source")
+
+
+PATTERNS = ("tion", "é", "e t", "ting and", "zzzzz")
+
+
+@query("select p as pattern, doc_id from documents, (select unnest([" + ", ".join(f"'{p}'" for p in PATTERNS) + "]) as p) where contains(text, p)")
+def substring_index(spark, sf):
+    """Documents that hold each of some texts, from a trigram index over all of them."""
+    folder = shared_folder(spark, "trigrams")
+    SS.build(S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), folder)
+    found = None
+    for p in PATTERNS:
+        one = SS.contains(spark, folder, p).select(F.lit(p).alias("pattern"), F.col("id").alias("doc_id"))
+        found = one if found is None else found.union(one)
+    return found

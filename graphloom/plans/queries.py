@@ -328,7 +328,7 @@ def detect_gaps_summary(spark, sf):
 
 @query()
 def gap_reports(spark, sf):
-    return A.gap_reports(*graph(spark, sf)).select("gap_type", "severity", F.size("affected_nodes").alias("affected"), "recommendation")
+    return A.gap_reports(*graph(spark, sf)).select("gap_type", "severity", F.coalesce(F.col("metrics")["count"], F.col("metrics")["size"]).cast("int").alias("affected"), "recommendation")
 
 
 @query(f"with {PART_SQL}, big as (select community from c group by 1 having count(*) >= 2), b as (select least(cu, cv) as c1, greatest(cu, cv) as c2, count(*) as edges from ends where cu <> cv group by 1, 2), g as (select x.community as c1, y.community as c2, coalesce(edges, 0) as edges from big x join big y on x.community < y.community left join b on b.c1 = x.community and b.c2 = y.community where coalesce(edges, 0) <= 3) select c1, c2, unnest([case when edges = 0 then 'What links ' else 'How strong is the tie of ' end || 'cluster ' || c1 || ' and cluster ' || c2 || '?', 'Which pattern of cluster ' || c1 || ' would serve cluster ' || c2 || '?', 'Did a failure in cluster ' || c2 || ' touch cluster ' || c1 || '?']) as question from g")
@@ -365,7 +365,7 @@ def louvain(spark, sf):
 
 @query(f"select community, size, first_id from (select label::bigint as community, count(*) as size, min(vec_id) as first_id from embeddings group by 1) order by size desc, community limit 10")
 def community_summary(spark, sf):
-    return A.community_summary(parts(spark, sf))
+    return A.community_summary(parts(spark, sf)).drop("sample_nodes")
 
 
 # ---- search
@@ -789,7 +789,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | further.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
