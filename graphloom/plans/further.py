@@ -16,7 +16,7 @@ from ..session import shared_folder
 from ..sources import driver_tables as S
 from ..sources import paged as P
 from ..sources.driver_tables import EDGES_SQL, NODES_SQL, THINGS_SQL
-from .queries import GRAPH_SQL, PART_SQL, WORDS, graph, parts, query
+from .queries import GRAPH_SQL, NODE_TEXT_SQL, PART_SQL, WORDS, graph, parts, query
 
 #: SQL of queries that are registered elsewhere.
 SQL: dict[str, str] = {}
@@ -175,3 +175,86 @@ def substring_index(spark, sf):
         one = SS.contains(spark, folder, p).select(F.lit(p).alias("pattern"), F.col("id").alias("doc_id"))
         found = one if found is None else found.union(one)
     return found
+
+
+# ---- batches that may come twice
+
+
+@query(f"with {NODES_SQL}, r as (select id as src, unnest(related_to) as dst from nodes) select src, dst, 'RELATES_TO' as rel_type, count(*)::bigint as n from r where dst in (select id from nodes) group by 1, 2")
+def streamed_relationships(spark, sf):
+    """Edges from related_to as documents stream in, by a job that is then run again and whose batch is tried a second time."""
+    from ..operators import nodes as N
+    from ..schema import EDGE, NODE, conform
+    from ..streaming import jobs, ledger
+
+    folder = shared_folder(spark, "ledger")
+    known = conform(S.nodes(spark, sf), NODE)
+    stream = jobs.read(spark, sf, "documents").select("doc_id")
+    table = ledger.BatchTable(spark, f"{folder}/edges", EDGE)
+    numbered = S.nodes(spark, sf)
+    derive = lambda new, _: N.related_edges(conform(numbered.join(new, "doc_id", "left_semi"), NODE))
+    for _ in range(2):
+        ledger.relationships(stream.withColumn("id", F.lit(None).cast("string")), known, derive, table, f"{folder}/run")
+    ledger.append_edges(table, N.related_edges(known), known, 0)
+    return table.read().groupBy("src", "dst", "rel_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with s as (select *, ts::timestamp as marked, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) select 'd:/' || user_id || '.md' as path, case when event_type = 'error' then 'failed' else 'completed' end as status, marked from s where k = 1")
+def tracker_status(spark, sf):
+    """Files (one for each user of events) after every event marked them, the last one told by time: completed, or failed for an error."""
+    from pyspark.sql import Window
+
+    from ..streaming import ledger
+
+    e = S.table(spark, sf, "events")
+    path = F.concat(F.lit("d:/"), F.col("user_id").cast("string"), F.lit(".md")).alias("normalized_path")
+    tracker = ledger.Tracker(spark, shared_folder(spark, "tracker"))
+    tracker.put(e.groupBy(path).agg(F.min(F.col("ts").cast("timestamp_ntz")).alias("at")), 0)
+    last = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))).where("k = 1")
+    marks = last.select(path, F.col("ts").cast("timestamp_ntz").alias("at"), F.lit(1).cast("long").alias("session"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("error_message"), "event_type")
+    for _ in range(2):
+        tracker.mark(marks.where("event_type = 'error'"), "failed", 1)
+        tracker.mark(marks.where("event_type <> 'error'"), "completed", 2)
+    tracker.compact(2)
+    return tracker.files().select(F.col("normalized_path").alias("path"), F.col("scan_status").alias("status"), F.col("at").alias("marked"))
+
+
+# ---- the graph's own tables, tools and pages
+
+
+def _stored_graph(spark, sf):
+    """Nodes and their RELATES_TO edges in folders, as the façade writes them."""
+    from ..api import KnowledgeGraph
+    from ..operators import nodes as N
+    from ..schema import NODE, conform
+
+    at = shared_folder(spark, "graph")
+    nodes = conform(S.nodes(spark, sf), NODE)
+    N.write(nodes, f"{at}/nodes")
+    kg = KnowledgeGraph(spark, at)
+    N.append_edges(spark, N.related_edges(kg.nodes), kg.nodes, f"{at}/edges")
+    return kg
+
+
+@query(f"with {NODES_SQL}, one as (select doc_id as d from nodes where type = 'Failure' order by timestamp limit 1 offset 20), r as (select n.id, n.type, abs(n.doc_id - d) // 3 as distance from nodes n, one where n.doc_id % 3 = d % 3 and n.doc_id <> d and abs(n.doc_id - d) <= 12), t as (select lower(type) as type, count(*) as n from nodes where timestamp between timestamp '2024-01-02 00:00:00' and timestamp '2024-01-30 00:00:00' and contains(lower(concat_ws(' ', description, rationale, name, implementation, context, attempt, reason_failed, lesson_learned)), 'ting') group by 1) select 'find_related' as tool, id as key, distance::bigint as n from r union all select 'get_timeline', type, n from t")
+def tools_in_sql(spark, sf):
+    """Tools called from SQL: nodes within four steps of the twenty-first failure, and nodes of a month by type (under a thousand)."""
+    from .. import tools
+
+    kg = _stored_graph(spark, sf)
+    tools.register(kg, "tooled", with_gaps=False)
+    start = kg.nodes.where("type = 'Failure'").orderBy("timestamp").offset(20).first().id
+    return spark.sql(f"""SELECT 'find_related' AS tool, id AS key, CAST(distance AS BIGINT) AS n FROM find_related('{start}', 4)
+        UNION ALL SELECT 'get_timeline', type, count(*) FROM get_timeline('Ting', '2024-01-02 00:00:00', '2024-01-30 00:00:00') GROUP BY type""")
+
+
+@query(f"with {NODES_SQL}, {NODE_TEXT_SQL}, p as (select id, type, text, row_number() over (order by id) as k from texts where text <> '') select ((k - 1) // 100)::int as page, count(*) as n, min(id) as first, max(id) as last, sum(length(text))::bigint as chars from p where k <= 300 group by 1")
+def keyset_pages(spark, sf):
+    """The first three pages of a hundred nodes, each behind the last id of the one before."""
+    kg, after, pages = _stored_graph(spark, sf), None, None
+    for k in range(3):
+        page = kg.page(after, 100)
+        one = page.agg(F.lit(k).alias("page"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum(F.char_length("text")).alias("chars")).where("n > 0")
+        pages = one if pages is None else pages.union(one)
+        after = page.agg(F.max("id")).first()[0] or after
+    return pages

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -33,19 +34,36 @@ def shared_folder(spark: SparkSession, name: str | None = None) -> str:
     return found.rstrip("/") + (f"/{name}-{uuid.uuid4().hex}" if name else "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as it is now, read from the shared checkpoint folder: later plans start there, and a lost executor costs no more than a re-read."""
-    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+_written: dict[str, SparkSession] = {}
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again."""
+    """df written as a table in the shared folder and read again; the table goes when the driver ends."""
     at = shared_folder(df.sparkSession, name)
+    if not _written:
+        atexit.register(_drop)
+    _written[at] = df.sparkSession
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _drop() -> None:
+    for at, spark in _written.items():
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session may have ended before
+            return
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as it is now: later plans start at a table in the shared folder, and a lost executor costs no more than a re-read.
+
+    A table and not checkpoint(): that keeps the old plan's estimate of size, which grows with every join of every round.
+    """
+    return kept(df, "cut")
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

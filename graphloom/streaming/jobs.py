@@ -7,22 +7,17 @@ same function again with the same folder: only new files are read.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract
-from ..operators.traverse import endpoints_exist
+from ..session import shared_folder
+from .state import first_within
 
 
 def _folder(spark: SparkSession, folder: str | None) -> str:
-    if folder:
-        return folder
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/graphloom-stream-{uuid.uuid4().hex}"
+    return folder or shared_folder(spark, "stream")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +39,10 @@ def message_patterns(spark: SparkSession, sf_dir: str, folder: str | None = None
     return run(extract.message_patterns(read(spark, sf_dir, "conversations")), _folder(spark, folder))
 
 
-def first_seen(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """Each conversation once, however often it comes again."""
-    return run(read(spark, sf_dir, "conversations").select("conv_id").dropDuplicates(["conv_id"]), _folder(spark, folder))
+def first_seen(spark: SparkSession, sf_dir: str, folder: str | None = None, ttl: str = "7 days") -> DataFrame:
+    """Each conversation once, however often it comes again within `ttl` of its arrival; what is remembered is that long and no longer."""
+    arrivals = read(spark, sf_dir, "conversations").select("conv_id", F.current_timestamp().alias("at"))
+    return run(first_within(arrivals, "conv_id", "at", ttl), _folder(spark, folder)).select("conv_id")
 
 
 def event_counts(spark: SparkSession, sf_dir: str, folder: str | None = None, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -68,16 +64,3 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes") -> DataF
     """Sessions of each user's events, as a batch of the same plan a stream would run."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
     return events.groupBy("user_id", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
-
-
-def relationships(new_nodes: DataFrame, known: DataFrame, derive: Callable[[DataFrame, DataFrame], DataFrame], folder: str, notify: Callable[[DataFrame], None] | None = None) -> None:
-    """For each batch of new nodes (a stream): edges from them to all known nodes, appended; notify gets them, as a push of events would."""
-
-    def step(batch: DataFrame, _: int) -> None:
-        edges = endpoints_exist(derive(batch, known), known.unionByName(batch, allowMissingColumns=True))
-        edges.write.mode("append").parquet(f"{folder}/edges")
-        if notify:
-            notify(edges)
-
-    q = new_nodes.writeStream.option("checkpointLocation", f"{folder}/offsets").foreachBatch(step).trigger(availableNow=True).start()
-    q.awaitTermination()
