@@ -157,6 +157,35 @@ def repaired_json(c: Column) -> Column:
     return F.when(ok, outer)
 
 
+def balanced_objects(c: Column) -> Column:
+    """The texts between balanced braces that stand in no other such text, in their order: one pass over the characters with the open braces' places."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"), none.alias("found"))
+
+    def step(s, ch):
+        at, last = s["at"] + 1, F.try_element_at(s["open"], F.lit(-1))
+        rest = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        closed = F.array_append(F.filter(s["found"], lambda x: x["a"] < last), F.struct(last.alias("a"), at.alias("b")))
+        opened = F.when(ch == "{", F.array_append(s["open"], at)).when(ch == "}", rest).otherwise(s["open"])
+        return F.struct(at.alias("at"), opened.alias("open"), F.when((ch == "}") & last.isNotNull(), closed).otherwise(s["found"]).alias("found"))
+
+    spans = F.aggregate(F.regexp_extract_all(c, F.lit(r"(?s)."), F.lit(0)), begin, step)["found"]
+    return F.transform(spans, lambda x: F.substr(c, x["a"], x["b"] - x["a"] + 1))
+
+
+def answer_object(c: Column) -> Column:
+    """A model's answer as the JSON object it means: the repaired whole, or else the last balanced object in it of one of the three types; null without one, or where the whole says none."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)```json\s*", ""), r"`+\s*", "")
+    outer = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    # in brackets, as what follows a whole value would pass unseen
+    listed = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    kind = lambda x: F.when(F.try_variant_get(listed(x), "$[1]", "variant").isNull(), F.try_variant_get(listed(x), "$[0].type", "string"))
+    typed = lambda x: kind(x).isin("decision", "pattern", "failure")
+    last = F.try_element_at(F.filter(balanced_objects(c), lambda x: F.coalesce(typed(x), F.lit(False))), F.lit(-1))
+    return F.when(typed(outer), outer).when(kind(outer) == "none", F.lit(None)).otherwise(last)
+
+
 def source_tags(c: Column) -> tuple[Column, Column]:
     """(source, collection) by a collection's name."""
     alpha = F.contains(c, F.lit("alpha"))

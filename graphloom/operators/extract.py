@@ -172,3 +172,22 @@ def structured_records(df: DataFrame, text_col: str = "text") -> DataFrame:
         return got if size is None else F.substring(got, 1, size)
     out = rows.select(F.substring_index("part", "\n", 1).alias("title"), *(one(label, size).alias(name) for name, (label, size) in fields.items()))
     return out.where("record_id is not null").withColumn("tags", F.filter(F.transform(F.split("tags", ","), strip), lambda x: x != ""))
+
+
+def record_nodes(records: DataFrame) -> DataFrame:
+    """Records of structured_records as nodes: type, description, rationale, alternatives of decisions; name, implementation, context, use_cases of breakthroughs, which become patterns.
+
+    A record with both is what stands last in it by its columns: a breakthrough. Decisions tagged typescript get the two usual ways out as alternatives.
+    """
+    broken = F.col("breakthrough").isNotNull()
+    what = F.coalesce(F.substring(F.coalesce("breakthrough", "decision"), 1, 200), F.when(broken, "Unknown breakthrough").otherwise("Unknown decision"))
+    typed = F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.contains(F.lower(t), F.lit("typescript")))
+    none = F.array().cast("array<string>")
+    of = lambda t, c: F.when(broken if t == "Pattern" else ~broken, c)
+    return records.where(F.coalesce("breakthrough", "decision").isNotNull()).select(
+        "record_id", F.when(broken, "Pattern").otherwise("Decision").alias("type"),
+        of("Decision", what).alias("description"), of("Decision", F.substring(F.coalesce("context", F.lit("")), 1, 500)).alias("rationale"),
+        of("Decision", F.when(typed, F.array(F.lit("Continue with errors"), F.lit("Systematic fix approach"))).otherwise(none)).alias("alternatives"),
+        of("Pattern", F.substring(what, 1, 100)).alias("name"), of("Pattern", F.substring(F.coalesce("technical_details", F.lit("")), 1, 1000)).alias("implementation"),
+        of("Pattern", F.concat(F.lit("Breakthrough difficulty: "), F.coalesce("difficulty", F.lit("medium")))).alias("context"), of("Pattern", F.array(what)).alias("use_cases"),
+    )

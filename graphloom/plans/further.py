@@ -6,10 +6,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import connectivity as CN
+from ..operators import dedup as D
 from ..operators import extract as E
 from ..operators import search as Q
+from ..operators import stats as B
 from ..operators import substring as SS
 from ..operators import traverse as G
 from ..session import shared_folder
@@ -258,3 +261,74 @@ def keyset_pages(spark, sf):
         pages = one if pages is None else pages.union(one)
         after = page.agg(F.max("id")).first()[0] or after
     return pages
+
+
+# ---- small reports
+
+
+@query("with g as (select substr(text, 1, 200) as k, count(*) as n from documents group by 1) select count(*) as total_patterns, sum(greatest(n - 2, 0))::bigint as pattern_skips, round(avg(least(n, 2)), 9) as avg_per_pattern, 2 as max_duplicates_per_pattern from g")
+def pattern_stats(spark, sf):
+    return D.pattern_stats(S.table(spark, sf, "documents"), "text", 2).withColumn("avg_per_pattern", F.round("avg_per_pattern", 9))
+
+
+RUNS_SQL = "runs as (select day, sum(n) over (order by day)::bigint as messages from (select ts::date as day, count(*) as n from events group by 1))"
+
+
+@query(f"with {RUNS_SQL}, l as (select *, coalesce(lag(messages) over (order by day), 0) as last_count from runs) select day, messages, last_count::bigint as last_count, greatest(messages - last_count, 0)::bigint as new, messages > last_count as needed from l order by day desc limit 100")
+def sync_checks(spark, sf):
+    from pyspark.sql import Window
+
+    days = S.table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    runs = days.select("day", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("day")).alias("messages"))
+    return B.syncs(runs, "day", "messages")
+
+
+@query("with d as (select ts::date as day, count(*) as n, 3600.0::double as spent from events group by 1), c as (select *, sum(n) over (order by day)::bigint as done, (sum(n) over (order by day))::double / sum(spent) over (order by day) as rate, (select count(*) from events) as whole from d) select day, done, round(rate, 9) as rate, round(avg(rate) over (order by day rows between 9 preceding and current row), 9) as avg_rate, round(done * 100.0::double / whole, 9) as pct from c")
+def ingestion_progress(spark, sf):
+    e = S.table(spark, sf, "events")
+    days = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("spent", F.lit(3600.0))
+    return B.progress(days, "day", "n", "spent", e.count()).select("day", "done", *(F.round(c, 9).alias(c) for c in ("rate", "avg_rate", "pct")))
+
+
+@query(f"with {NODES_SQL}, p as (select distinct project as id, 'docs/projects/' || project as path from nodes) select case when starts_with(id, 'src1') then 'docs/projects' else 'docs' end as root, count(*) as n, array_to_string(list_sort(list(id)), ',') as projects from p group by 1")
+def projects_by_root(spark, sf):
+    """Projects under two roots; the first root is that of projects whose name begins with src1."""
+    p = S.nodes(spark, sf).select(F.col("project").alias("id"), F.concat(F.lit("docs/projects/"), "project").alias("path")).distinct()
+    p = p.withColumn("path", F.when(F.startswith("id", F.lit("src1")), F.col("path")).otherwise(F.concat(F.lit("docs/other/"), "id")))
+    return B.projects_by_root(p, ["docs/projects", "docs"]).select("root", "n", F.array_join("project_ids", ",").alias("projects"))
+
+
+@query(f"with {THINGS_SQL}, {EDGES_SQL}, c as (select (select count(*) from things)::double as n, (select count(*) from edges)::double as m) select 'nodes' as metric, n as value from c union all select 'edges', m from c union all select 'density', round(m / (n * (n - 1)), 9) from c union all select 'avg_degree', round(2 * m / n, 9) from c union all select 'type ' || type, count(*)::double from things group by type")
+def status_metrics(spark, sf):
+    return B.status(S.things(spark, sf), S.edges(spark, sf)).withColumn("value", F.round("value", 9))
+
+
+def _answers(spark, sf):
+    """What a model might say on each document, in three forms."""
+    d = S.table(spark, sf, "documents")
+    begin = F.regexp_replace(F.substring("text", 1, 40), r"[{}<>`\"\\]", "")
+    i = F.col("doc_id").cast("string")
+    said = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(begin, F.lit(' {"type": "pattern", "of": {"n": '), i, F.lit('}} and {"type": "other"} ')))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit('<think>{"type": "failure"}</think>```json\n{"type": "decision", "of": {"n": '), i, F.lit("}}\n```")))
+        .otherwise(F.concat(F.lit("{ "), begin, F.lit(' {"type": "failure", "of": {"n": '), i, F.lit(', "in": {"x": {}}}} and no more')))
+    )
+    return d.select("doc_id", said.alias("answer"))
+
+
+@query("select doc_id, ['pattern', 'decision', 'failure'][(doc_id % 3 + 1)::int] as type, doc_id as n from documents where text is not null")
+def nested_answers(spark, sf):
+    found = _answers(spark, sf).select("doc_id", X.answer_object(F.col("answer")).alias("o"))
+    return found.select("doc_id", F.get_json_object("o", "$.type").alias("type"), F.get_json_object("o", "$.of.n").cast("long").alias("n"))
+
+
+@query("select 'r' || doc_id as record_id, case when lang = 'en' then 'Decision' else 'Pattern' end as type, case when lang = 'en' then 'Chose ' || source end as description, case when lang = 'en' then 'In ' || lang end as rationale, case when lang = 'en' and source = 'src1' then 2 when lang = 'en' then 0 end as alternatives, case when lang <> 'en' then 'Found ' || source end as name, case when lang <> 'en' then 'Breakthrough difficulty: ' || case when lang = 'fr' then 'hard' else 'medium' end end as context from documents")
+def record_nodes(spark, sf):
+    """Records made of documents' columns, eight lines each at most, read back and turned to nodes."""
+    en = F.col("lang") == "en"
+    lines = F.concat_ws(
+        "\n", F.lit("## A record"), F.concat(F.lit("**ID:** r"), F.col("doc_id").cast("string")), F.when(en, F.concat(F.lit("**Decision:** Chose "), "source")), F.when(~en, F.concat(F.lit("**Breakthrough:** Found "), "source")),
+        F.concat(F.lit("**Context:** In "), "lang"), F.when(F.col("source") == "src1", F.lit("**Tags:** TypeScript, x")), F.when(F.col("lang") == "fr", F.lit("**Difficulty:** hard")),
+    )
+    records = E.structured_records(S.table(spark, sf, "documents").select(lines.alias("text")))
+    return E.record_nodes(records).select("record_id", "type", "description", "rationale", F.when(F.col("alternatives").isNotNull(), F.size("alternatives")).alias("alternatives"), "name", "context")

@@ -6,7 +6,7 @@ import fnmatch
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Names that make a folder a project, and folders that are skipped.
@@ -14,6 +14,15 @@ PROJECT_MARKERS = (".git", "README.md", "pyproject.toml", "package.json", "Cargo
 SKIPPED = ("venv", "__pycache__", "node_modules", "dist", "build", "target", ".pytest_cache", ".mypy_cache", "logs", "tmp", "temp")
 
 
+# Parts of a path that a simple scan leaves out.
+SIMPLE_EXCLUDES = ("venv", "__pycache__", ".git", "node_modules", "dist", "build")
+
+
+def simple_markdown(spark: SparkSession, root: str) -> DataFrame:
+    """As markdown, without any file whose path holds one of SIMPLE_EXCLUDES."""
+    return markdown(spark, root, SIMPLE_EXCLUDES)
+
+
 def _excluded(path: Column, patterns) -> Column:
     """A pattern with * or ? is matched as a whole, others as a part of the path."""
     out = F.lit(False)
@@ -39,6 +48,24 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_corrupt is null").drop("_corrupt")
 
 
+def json_lines_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As json_lines, but a line that does not parse ends its file: what stands before it counts. A file is one value, so for files that fit one."""
+    lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).where(F.trim("line") != "")
+    parsed = lines.select("file", "k", F.from_json("line", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.min(F.when(F.col("r._corrupt").isNotNull(), F.col("k"))).over(Window.partitionBy("file"))
+    return parsed.withColumn("bad", bad).where(F.col("bad").isNull() | (F.col("k") < F.col("bad"))).select("r.*").drop("_corrupt")
+
+
+def write_timeline(rows: DataFrame, path: str) -> None:
+    """A timeline's rows, a thousand at most (more are an error), as one JSON list, oldest first."""
+    found = [json.loads(r) for r in rows.orderBy("timestamp", "id").limit(1001).toJSON().collect()]
+    if len(found) > 1000:
+        raise ValueError("an export holds at most 1000 rows; write longer timelines as a table")
+    with open(path, "w") as f:
+        json.dump(found, f, indent=2)
+
+
 def query_list(spark: SparkSession, path: str) -> DataFrame:
     """query: the lines that are neither blank nor comments."""
     line = F.trim("value")
