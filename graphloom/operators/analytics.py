@@ -31,18 +31,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, community: each round every node takes the most frequent label around it, ties to the smaller; all at once, own label counted, so it settles."""
+    """id, community: each round every node takes the most frequent label around it, its own counted, ties to the smaller; ends when none would change.
+
+    All nodes move at once; where that has not settled after `rounds`, labels may swing between two states, so from then on only the half that a hash of
+    id and round names moves. A thousand rounds without an end are an error, not a result.
+    """
     pairs = undirected(edges)
     links = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).union(pairs.select("v", "u")).union(nodes.select("id", "id")))
     labels = cut(nodes.select("id", F.col("id").alias("community")))
     first = Window.partitionBy("a").orderBy(F.col("n").desc(), "community")
-    for _ in range(rounds):
+    for turn in range(1000):
         votes = links.join(labels, F.col("b") == F.col("id")).groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
-        new = cut(votes.withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("a").alias("id"), "community"))
-        if not new.join(labels.withColumnRenamed("community", "old"), "id").where("community <> old").limit(1).count():
-            return new
-        labels = new
-    return labels
+        best = votes.withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("a").alias("id"), F.col("community").alias("new"))
+        both = cut(labels.join(best, "id"))
+        if both.where("community <> new").isEmpty():
+            return labels
+        moves = F.lit(True) if turn < rounds else F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        labels = both.select("id", F.when(moves, F.col("new")).otherwise(F.col("community")).alias("community"))
+    raise RuntimeError("labels did not settle in 1000 rounds")
 
 
 def modularity(communities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,6 +97,23 @@ def severities(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("gap_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def topics(members: DataFrame, words: str, group: str, top: int = 3, nodes: int | None = None, order: str | None = None) -> DataFrame:
+    """group, word, n: the most frequent words of each group (ties to the first in the alphabet), over all its rows or its first `nodes` in an order. members: group, words (arrays)."""
+    if nodes is not None:
+        members = members.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_k") <= nodes)
+    n = members.select(group, F.explode(words).alias("word")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("n").desc(), "word"))
+    return n.withColumn("_k", rank).where(F.col("_k") <= top).drop("_k")
+
+
+def questions(gaps: DataFrame) -> DataFrame:
+    """c1, c2, question: three for each gap between communities."""
+    a, b = (F.concat(F.lit("cluster "), F.col(c).cast("string")) for c in ("c1", "c2"))
+    first = F.concat(F.when(F.col("edges") == 0, "What links ").otherwise("How strong is the tie of "), a, F.lit(" and "), b, F.lit("?"))
+    more = (F.concat(F.lit("Which pattern of "), a, F.lit(" would serve "), b, F.lit("?")), F.concat(F.lit("Did a failure in "), b, F.lit(" touch "), a, F.lit("?")))
+    return gaps.select("c1", "c2", F.explode(F.array(first, *more)).alias("question"))
+
+
 def critical(gaps: DataFrame, order: list[str], severity: str = "HIGH", n: int = 10) -> DataFrame:
     """The first n gaps of a severity."""
     return gaps.where(F.col("severity") == severity).orderBy(*order).limit(n)

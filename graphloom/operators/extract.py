@@ -163,6 +163,11 @@ def by_model(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     return df.select(id_col, text_col).where(F.char_length(text_col) >= 100).mapInPandas(run, schema)
 
 
+def by_model_each(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", schema: str = "doc_id long, answer string") -> DataFrame:
+    """As by_model, one text a call and more of it."""
+    return by_model(df, model, id_col, text_col, batch=1, chars=2000, schema=schema)
+
+
 def structured_records(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Records under ## headers with fields such as **ID:**; a row for each record that has an id."""
     fields = {"record_id": ("ID", None), "decision": ("Decision", 200), "breakthrough": ("Breakthrough", 200), "context": ("Context", 500), "technical_details": ("Technical Details", 1000), "tags": ("Tags", None), "priority": ("Priority", None), "difficulty": ("Difficulty", None)}

@@ -12,7 +12,7 @@ from .vectors import nearest
 
 
 def id_references(texts: DataFrame, ids: DataFrame, pattern: str = r"\b([DPF]-[a-f0-9]{8})\b", weight: float = 0.8) -> DataFrame:
-    """src, dst, rel_type, weight for each node id that another node's text (id, text) mentions."""
+    """src, dst, rel_type, weight for each node id that another node's text (id, text) mentions; ids of failures as well as of decisions and patterns."""
     found = texts.select(F.col("id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("dst")).where("src <> dst")
     return found.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", F.lit("REFERENCES").alias("rel_type"), F.lit(weight).alias("weight"))
 
@@ -25,7 +25,7 @@ def fragments(texts: DataFrame, low: int = 3, high: int = 9, words: int = 10) ->
 
 
 def explicit_references(texts: DataFrame, rules=REFERENCES) -> DataFrame:
-    """Edges from phrases such as "depends on <beginning of another text>": verb, then up to 51 word characters, blanks and hyphens that equal a fragment."""
+    """Edges from phrases such as "depends on <beginning of another text>": verb, then up to 51 word characters, blanks and hyphens that equal a fragment. Case does not count in the verb, nor for how the run begins."""
     known = fragments(texts).select("fragment", F.col("id").alias("dst"))
     parts = []
     for verb, kind, weight in rules:
@@ -79,8 +79,14 @@ def word_overlap(left: DataFrame, right: DataFrame, above: float = 0.3, cap: flo
 
 
 def similarity_edges(vectors: DataFrame, threshold: float = 0.7, k: int = 49, factor: float = 0.6, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """Directed SEMANTICALLY_SIMILAR edges to each row's nearest others over the threshold."""
-    found = nearest(vectors, k, id_col, vector_col, threshold)
+    """Directed SEMANTICALLY_SIMILAR edges to each row's nearest others over the threshold; weight is the cosine times the factor. Ids may be numbers or strings (which are numbered in their order first)."""
+    if vectors.schema[id_col].dataType.simpleString() == "string":
+        numbered = kept(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).orderBy("id").withColumn("n", F.monotonically_increasing_id()), "numbered")
+        found = nearest(numbered, k, "n", "v", threshold)
+        name = lambda end: numbered.select(F.col("n").alias(end), F.col("id").alias(f"id_{end}"))
+        found = found.join(name("src"), "src").join(name("dst"), "dst").select(F.col("id_src").alias("src"), F.col("id_dst").alias("dst"), "score")
+    else:
+        found = nearest(vectors, k, id_col, vector_col, threshold)
     return found.select("src", "dst", F.lit("SEMANTICALLY_SIMILAR").alias("rel_type"), (F.col("score") * factor).alias("weight"))
 
 

@@ -73,6 +73,12 @@ def syncs(runs: DataFrame, order: str, count: str, keep: int = 100) -> DataFrame
     return rows.orderBy(F.col(order).desc()).limit(keep)
 
 
+def edge_quality(edges: DataFrame) -> DataFrame:
+    """One row: total, with_reasoning, with_confidence (a weight), llm_share (edges of another type than SEMANTICALLY_SIMILAR)."""
+    other = F.count_if(F.col("rel_type") != "SEMANTICALLY_SIMILAR").cast("double")
+    return edges.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.length("reasoning") > 0).alias("with_reasoning"), F.count("weight").alias("with_confidence"), F.try_divide(other, F.count(F.lit(1))).alias("llm_share"))
+
+
 def projects_by_root(projects: DataFrame, roots: list[str]) -> DataFrame:
     """root, n, project_ids of projects (id, path) by the first of the roots that is the path or holds it; others are left out."""
     root = F.lit(None).cast("string")

@@ -11,6 +11,7 @@ from ..operators import analytics as A
 from ..operators import connectivity as CN
 from ..operators import dedup as D
 from ..operators import extract as E
+from ..operators import relate as R
 from ..operators import search as Q
 from ..operators import stats as B
 from ..operators import substring as SS
@@ -332,3 +333,24 @@ def record_nodes(spark, sf):
     )
     records = E.structured_records(S.table(spark, sf, "documents").select(lines.alias("text")))
     return E.record_nodes(records).select("record_id", "type", "description", "rationale", F.when(F.col("alternatives").isNotNull(), F.size("alternatives")).alias("alternatives"), "name", "context")
+
+
+@query(f"with {EDGES_SQL} select count(*) as total, count(*) filter (where weight >= 0.9) as with_reasoning, count(*) filter (where rel_type <> 'LED_TO') as with_confidence, round(count(*) filter (where rel_type <> 'SEMANTICALLY_SIMILAR')::double / count(*), 9) as llm_share from edges")
+def edge_quality_fields(spark, sf):
+    """Edges of which some have a reason (those of weight 0.9 or more) and some no weight (those between turns)."""
+    e = S.edges(spark, sf).withColumn("reasoning", F.when(F.col("weight") >= 0.9, "a foreign key").otherwise("")).withColumn("weight", F.when(F.col("rel_type") != "LED_TO", F.col("weight")))
+    return B.edge_quality(e).withColumn("llm_share", F.round("llm_share", 9))
+
+
+SQL["shortest_path_exists"] = f"""with recursive {EDGES_SQL}, place as (select c_custkey as c, n_nationkey as n, n_regionkey as r from customer join nation on c_nationkey = n_nationkey),
+first as (select r, n from place where c = 1), other as (select min(c) as c from place, first where place.r = first.r and place.n <> first.n),
+e as (select src, dst from edges where rel_type in ('DEPENDS_ON', 'IMPLEMENTS')), both_ as (select src, dst from e union select dst, src from e),
+walk(id, d) as (select 'c:1', 0 union select b.dst, d + 1 from walk join both_ b on b.src = walk.id where d < 5)
+select true as found, min(d)::int as length from walk where id = (select 'c:' || c from other) having min(d) is not null"""
+
+
+@query("with unit as (select 'v' || lpad(vec_id::varchar, 9, '0') as id, list_transform(embedding, lambda x: x::double) as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings), p as (select x.id as src, y.id as dst, list_inner_product(x.v, y.v) / (x.n * y.n) as score from unit x join unit y on x.id <> y.id), r as (select *, row_number() over (partition by src order by score desc, dst) as rank from p where score >= 0.35) select src, dst, 'SEMANTICALLY_SIMILAR' as rel_type, round(score * 0.6, 6) as weight from r where rank <= 49")
+def similarity_edges(spark, sf):
+    """Edges to the nearest 49 over 0.35, weight 0.6 of the cosine, between rows named by strings as nodes are."""
+    e = S.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding")
+    return R.similarity_edges(e, 0.35).withColumn("weight", F.round("weight", 6))

@@ -333,19 +333,13 @@ def gap_reports(spark, sf):
 
 @query(f"with {PART_SQL}, big as (select community from c group by 1 having count(*) >= 2), b as (select least(cu, cv) as c1, greatest(cu, cv) as c2, count(*) as edges from ends where cu <> cv group by 1, 2), g as (select x.community as c1, y.community as c2, coalesce(edges, 0) as edges from big x join big y on x.community < y.community left join b on b.c1 = x.community and b.c2 = y.community where coalesce(edges, 0) <= 3) select c1, c2, unnest([case when edges = 0 then 'What links ' else 'How strong is the tie of ' end || 'cluster ' || c1 || ' and cluster ' || c2 || '?', 'Which pattern of cluster ' || c1 || ' would serve cluster ' || c2 || '?', 'Did a failure in cluster ' || c2 || ' touch cluster ' || c1 || '?']) as question from g")
 def exploration_questions(spark, sf):
-    gaps = A.community_pair_gaps(parts(spark, sf), S.vector_edges(spark, sf), weak=3)
-    a, b = (F.concat(F.lit("cluster "), F.col(c).cast("string")) for c in ("c1", "c2"))
-    first = F.concat(F.when(F.col("edges") == 0, "What links ").otherwise("How strong is the tie of "), a, F.lit(" and "), b, F.lit("?"))
-    return gaps.select("c1", "c2", F.explode(F.array(first, F.concat(F.lit("Which pattern of "), a, F.lit(" would serve "), b, F.lit("?")), F.concat(F.lit("Did a failure in "), b, F.lit(" touch "), a, F.lit("?")))).alias("question"))
+    return A.questions(A.community_pair_gaps(parts(spark, sf), S.vector_edges(spark, sf), weak=3))
 
 
 @query("with w as (select source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}')) as word from documents), n as (select source, word, count(*) as n from w group by 1, 2) select source, word, n from (select *, row_number() over (partition by source order by n desc, word) as k from n) where k <= 3")
 def cluster_topics(spark, sf):
-    from pyspark.sql import Window
-
-    w = docs(spark, sf).select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(X.WORD4), F.lit(0))).alias("word")).groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "word"))
-    return w.withColumn("k", rank).where("k <= 3").drop("k")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(X.WORD4), F.lit(0))
+    return A.topics(docs(spark, sf).select("source", words.alias("words")), "words", "source")
 
 
 @query()
@@ -379,10 +373,11 @@ HITS_SQL = f"""words as (select * from (values {VALUES}) t(place, keyword)), hit
     where {" or ".join(f"contains(lower({f}), keyword)" for f in Q.FIELDS)})"""
 
 
-@query(f"select unnest(['thing', 'and', 'ting', 'or', 'tion']) as keyword")
+@query("select doc_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(lower('what about ' || substr(text, 1, 120) || ' in q3 2024'), 'in\\s+q[1-4]\\s*\\d{4}', '', 'g'), '[\\p{L}\\p{N}_]+'), lambda w: w not in (" + ", ".join(f"'{w}'" for w in X.STOP_QUERY) + "))[1:10], ' ') as keywords from documents")
 def query_decompose_keywords(spark, sf):
-    one = spark.createDataFrame([(QUESTION,)], "q string")
-    return one.select(F.explode(X.query_words(F.col("q"))).alias("keyword"))
+    """Keywords of a question on the beginning of each document."""
+    asked = F.concat(F.lit("What about "), F.substring("text", 1, 120), F.lit(" in Q3 2024"))
+    return docs(spark, sf).select("doc_id", F.array_join(X.query_words(asked), " ").alias("keywords"))
 
 
 @query("select q, make_date(y::int, k::int * 3 - 2, 1) as first, last_day(make_date(y::int, k::int * 3, 1)) as last from (select 'Q' || k || ' ' || y as q, k, y from (select distinct quarter(o_orderdate) as k, year(o_orderdate) as y from orders))")
