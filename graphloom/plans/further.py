@@ -20,7 +20,7 @@ from ..session import shared_folder
 from ..sources import driver_tables as S
 from ..sources import paged as P
 from ..sources.driver_tables import EDGES_SQL, NODES_SQL, THINGS_SQL
-from .queries import GRAPH_SQL, NODE_TEXT_SQL, PART_SQL, WORDS, graph, parts, query
+from .queries import GRAPH_SQL, NODE_TEXT_SQL, PAGE_SQL, PART_SQL, WORDS, graph, parts, query
 
 #: SQL of queries that are registered elsewhere.
 SQL: dict[str, str] = {}
@@ -354,3 +354,27 @@ def similarity_edges(spark, sf):
     """Edges to the nearest 49 over 0.35, weight 0.6 of the cosine, between rows named by strings as nodes are."""
     e = S.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding")
     return R.similarity_edges(e, 0.35).withColumn("weight", F.round("weight", 6))
+
+
+# ---- sections with their fields
+
+
+def _any_of(words) -> str:
+    return "(" + " or ".join(f"contains(lower(x), '{w}')" for w in words) + ")"
+
+
+SQL["section_fields"] = rf"""with t as (select page_id as doc_id, {PAGE_SQL} as whole from pages),
+s as (select doc_id, starts_with(whole, '#') as at_once, string_split(chr(10) || whole, chr(10) || '#')[2:] as parts from t),
+p as (select doc_id, at_once, unnest(parts) as part, generate_subscripts(parts, 1) as k from s),
+h as (select doc_id, (k - at_once::int)::int as place, lower(split_part(part, chr(10), 1)) as head, trim('#' || part, chr(32) || chr(10) || chr(9) || chr(13)) as text from p),
+c as (select *, case when contains(head, 'the') or contains(head, 'der') then 'decision' when contains(head, 'e') then 'pattern' when contains(head, 'a') then 'failure' end as class from h),
+l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '' and not starts_with(x, '#')) as lines from c where class is not null and length(text) > 50),
+f as (select *, nullif(array_to_string(lines[2:3], ' '), '') as two, nullif(regexp_extract(text, '(?m)^#+\s+(.+)$', 1), '') as title, list_filter(lines, lambda x: {_any_of(X.LESSON_LINES)})[1] as lesson from l)
+select doc_id, place, class, case when class = 'decision' then substr(lines[1], 1, 200) end as description,
+    case when class = 'decision' then coalesce(substr(two, 1, 300), substr(lines[1], 1, 200)) end as rationale,
+    case when class = 'decision' then coalesce(array_to_string(list_transform(list_filter(lines, lambda x: {_any_of(X.ALTERNATIVE_LINES)}), lambda x: substr(x, 1, 100))[1:3], '|'), '') end as alternatives,
+    case when class = 'pattern' then substr(coalesce(title, lines[1]), 1, 80) end as name, case when class = 'pattern' then substr(coalesce(array_to_string(lines[1:2], ' '), ''), 1, 300) end as context,
+    case when class = 'pattern' then substr(coalesce(array_to_string(lines, ' '), ''), 1, 500) end as implementation, case when class = 'pattern' then coalesce(substr(lines[1], 1, 100), '') end as use_cases,
+    case when class = 'failure' then substr(lines[1], 1, 200) end as attempt, case when class = 'failure' then coalesce(substr(lines[2], 1, 300), 'See documentation') end as reason_failed,
+    case when class = 'failure' then substr(lesson, 1, 300) end as lesson_learned, case when class = 'failure' then substr(lines[list_position(lines, lesson) + 1], 1, 200) end as alternative_solution
+from f"""
