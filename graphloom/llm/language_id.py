@@ -82,8 +82,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 1.0, seed: int = 5) -> Model:
-    """rows: language, buckets, their shares of the text. One row in five is kept for calibration."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 1.0, seed: int = 5, least_steps: int = 1000) -> Model:
+    """rows: language, buckets, their shares of the text. One row in five is kept for calibration. Few rows are gone through more often, until there are `least_steps` steps."""
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
@@ -102,7 +102,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate:
 
     share = np.bincount(y, minlength=len(langs))
     weight = (share.mean() / np.maximum(share, 1)).astype(np.float32)  # languages count alike
-    steps = epochs * max(1, -(-len(train) // 32))
+    each = max(1, -(-len(train) // 32))
+    epochs = max(epochs, -(-least_steps // each))
+    steps = epochs * each
     step = 0
     for _ in range(epochs):
         for at in range(0, len(train), 32):
