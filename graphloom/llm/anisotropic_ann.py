@@ -7,12 +7,14 @@ sum over the table at its codes. The best rows by that, for each query over all
 product in double precision.
 
 Centres are fitted on the driver on at most SAMPLE vectors (those with the smallest hash of their id); every row is
-coded. Codes, not vectors, lie in blocks of bounded size, and each pair of a block of codes and a block of queries
-is one row of an equi-join and one piece of work. Rows are dealt to blocks by a hash, so of a query's shortlist a
-block holds its share and little more, and sends on no more than that. Vectors are joined to the shortlists alone.
-
-The shortlist has at least LEAST rows and ROOT times the root of the number of rows (453 of 51,282): no table is
-scored exactly as a whole, but for those of up to LEAST rows.
+coded. Codes, lengths of residuals and vectors lie in blocks of bounded size, and each pair of a block of rows and a
+block of queries is one row of an equi-join and one piece of work, which sends on no more than each query's `top` rows.
+
+How many rows of a block are ranked exactly is told by the rows: first the best by approximate score (LEAST at least,
+or ROOT times the root of the number of rows), whose exact products give what a row must reach; then all whose
+approximate score reaches it with an error of SIGMAS times what errors are found to be for that query, as shares
+of the residuals' lengths. Where codes do not tell rows apart (tight groups, lengths that differ much, many dimensions)
+more rows are ranked exactly, and no list is cut. An error is at most the residual's length times the query's.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from .common import Workspace, ship
 
 SAMPLE = 10_000
 CENTRES = 16
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Components of a block of rows; queries of a block, of a step within it; pieces of work at least, if there are queries for them.
+BLOCK_CELLS, QUERY_BLOCK, STEP, PIECES = 1 << 22, 4_096, 64, 8
 LEAST, ROOT = 100, 2
+SIGMAS, PROBES = 4.0, 256
+#: With more centres than that (times two) these are not fitted all at once.
+WIDEST = 4_096
 THRESHOLD = 0.2
 
 
@@ -64,6 +70,10 @@ class Quantiser:
                 along = rest + p[rows, codes[:, m]]
         return codes
 
+    def off(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of the residuals."""
+        return np.sqrt(((self.parts(x) - self.centres[np.arange(codes.shape[1]), codes]) ** 2).sum((1, 2)))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """pairs x 16 x queries."""
         return np.einsum("mkc,qmc->mkq", self.centres, self.parts(queries)).astype(np.float32)
@@ -87,7 +97,7 @@ def fit(sample: np.ndarray, rounds: int = 6, seed: int = 3) -> Quantiser:
     unit = parts / np.maximum(np.sqrt((parts**2).sum((1, 2), keepdims=True)), 1e-30)
     norm = (parts * unit).sum((1, 2))
     width = pairs * CENTRES * 2
-    for _ in range(rounds):
+    for _ in range(rounds if width <= WIDEST else 0):
         codes = q.encode(sample.astype(np.float64), sweeps=1, start=codes)
         # all centres at once: the loss is quadratic in them
         A, b = np.zeros((width, width)), np.zeros(width)
@@ -113,25 +123,39 @@ def shortlist_size(rows: int, top: int) -> int:
     return max(LEAST, top + 1, math.ceil(ROOT * math.sqrt(rows)))
 
 
-def best_of_block(quantiser: Quantiser, ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, id, approximate score of each query's best rows, the query's own left out; rows lie in order of ids."""
-    tables = quantiser.tables(queries)
-    approx = np.zeros((len(ids), len(queries)), np.float32)
-    for at in range(0, len(ids), 1024):
-        for m in range(codes.shape[1]):
-            approx[at : at + 1024] += tables[m][codes[at : at + 1024, m]]
-    approx = np.ascontiguousarray(approx.T)
+def best_of_block(quantiser: Quantiser, ids: np.ndarray, codes: np.ndarray, off: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, first: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id, product of each query's `top` best rows of a block, its own row left out; rows lie in order of ids."""
+    n = len(ids)
+    probes = np.unique(np.linspace(0, n - 1, min(n, PROBES)).astype(np.int64))
+    probed, off = vectors[probes].astype(np.float64), off.astype(np.float64)
+    tiny = max(float(off.max()) * 1e-9, 1e-300)
     out = []
-    for k, own in enumerate(query_ids):
-        s = approx[k]
-        s[np.searchsorted(ids, own) : np.searchsorted(ids, own, "right")] = -np.inf
-        found = np.arange(len(s))
-        if len(s) > most:
-            cut = np.partition(s, len(s) - most)[len(s) - most]
-            above, equal = np.flatnonzero(s > cut), np.flatnonzero(s == cut)
-            found = np.concatenate([above, equal[: most - len(above)]])  # of ties the smaller ids
-        found = found[s[found] > -np.inf]
-        out.append((np.full(len(found), own), ids[found], s[found]))
+    for start in range(0, len(query_ids), STEP):
+        asked = queries[start : start + STEP]
+        tables = quantiser.tables(asked)
+        approx = np.zeros((n, len(asked)), np.float32)
+        for at in range(0, n, 1024):
+            for m in range(codes.shape[1]):
+                approx[at : at + 1024] += tables[m][codes[at : at + 1024, m]]
+        approx = np.ascontiguousarray(approx.T)
+        for k, q in enumerate(asked):
+            own, s = query_ids[start + k], approx[k]
+            found = np.argpartition(s, n - first)[n - first :] if n > first else np.arange(n)
+            score = (vectors[found].astype(np.float64) * q).sum(1)
+            if n > first:
+                length = float(np.sqrt((q * q).sum()))
+                shares = [(exact - s[rows]) / np.maximum(off[rows], tiny) for exact, rows in (((probed * q).sum(1), probes), (score, found))]
+                error = min(length * (1 + 1e-6), SIGMAS * max(float(np.sqrt((x * x).mean())) for x in shares))
+                others = np.sort(score[ids[found] != own])
+                # what is not below, and not what is above: products beyond 32 bits are no numbers
+                may = ~(s + error * off < others[-top])
+                may[found] = False
+                more = np.flatnonzero(may)
+                found, score = np.concatenate([found, more]), np.concatenate([score, (vectors[more].astype(np.float64) * q).sum(1)])
+            other = ids[found] != own
+            found, score = ids[found][other], score[other]
+            best = np.lexsort((found, -score))[:top]
+            out.append((np.full(len(best), own), found[best], score[best]))
     return tuple(np.concatenate(part) for part in zip(*out))
 
 
@@ -159,24 +183,29 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, rerank: int |
         rows = space.keep(rows.groupBy("id").agg(F.min("v").alias("v")), "rows")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     quantiser = spark.sparkContext.broadcast(fit(np.array([r.v for r in sorted(sample)])))  # fixed size
-    blocks, query_blocks = -(-sizes.ids // ROW_BLOCK), max(1, -(-sizes.ids // every // QUERY_BLOCK))
-    d, short = sizes.d, rerank or shortlist_size(sizes.ids, top)
-    share = short / blocks
-    most = min(short, math.ceil(share + 6 * math.sqrt(share) + 8)) if blocks > 1 else short
+    d, first = sizes.d, rerank or shortlist_size(sizes.ids, top)
+    first = max(first, top + 1)
+    blocks, asking = -(-sizes.ids // max(1, BLOCK_CELLS // d)), -(-sizes.ids // every)
+    query_blocks = max(-(-asking // QUERY_BLOCK), min(-(-asking // STEP), -(-PIECES // blocks)))
+    # as narrow as the column that is read
+    width = np.float32 if embeddings.schema[vector_col].dataType.elementType.typeName() == "float" else np.float64
 
     def encode(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            codes = quantiser.value.encode(x).astype(np.uint8) if len(x) else np.zeros((0, 2), np.uint8)
+            codes = quantiser.value.encode(x) if len(x) else np.zeros((0, 2), np.int64)
+            off = quantiser.value.off(x, codes).astype(np.float32) if len(x) else np.zeros(0, np.float32)
+            codes = codes.astype(np.uint8)
             if codes.shape[1] % 2:
                 codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
             codes = codes[:, 0::2] | (codes[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "same", "codes"])
+            held = [pa.array([c.tobytes() for c in part], pa.binary()) for part in (codes, x.astype(width))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(off), *held], ["id", "same", "off", "codes", "v"])
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         joined = lambda c: b"".join(group.column(c).to_pylist())
-        return pa.table({"block": group.column("block")[:1], "ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "codes": pa.array([joined("codes")], pa.binary())})
+        return pa.table({"block": group.column("block")[:1], "ids": pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), "codes": pa.array([joined("codes")], pa.binary()), "off": pa.array([group.column("off").to_numpy().tobytes()], pa.binary()), "v": pa.array([joined("v")], pa.binary())})
 
     def pack_queries(group: pa.Table) -> pa.Table:
         x = group.column("v").combine_chunks().flatten().to_numpy()
@@ -184,33 +213,23 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, rerank: int |
 
     def scan(batches):
         for batch in batches:
-            for ids, codes, query_ids, queries in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
-                packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
+            for row in range(batch.num_rows):
+                ids, codes, off, v, query_ids, queries = (np.frombuffer(batch.column(k)[row].as_buffer(), t) for k, t in enumerate((np.int64, np.uint8, np.float32, width, np.int64, np.float64)))
+                packed = codes.reshape(len(ids), -1)
                 codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, : (d + 1) // 2]
-                found = best_of_block(quantiser.value, ids, codes, query_ids, np.frombuffer(queries).reshape(-1, d), most)
-                yield pa.RecordBatch.from_arrays([pa.array(part) for part in found], ["query_id", "vec_id", "approx"])
+                found = best_of_block(quantiser.value, ids, codes, off, v.reshape(-1, d), query_ids, queries.reshape(-1, d), first, top)
+                yield pa.RecordBatch.from_arrays([pa.array(part) for part in found], ["query_id", "vec_id", "score"])
 
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    coded = rows.select("id", "v", F.xxhash64("v").alias("same")).mapInArrow(encode, "id long, same long, codes binary")
-    first = F.row_number().over(Window.partitionBy("same").orderBy("id"))
-    coded = coded.withColumn("copy", first).where(F.col("copy") <= top + 1)
-    left = coded.select(place(blocks).alias("block"), "id", "codes").groupBy("block").applyInArrow(pack, "block int, ids binary, codes binary")
+    coded = rows.select("id", "v", F.xxhash64("v").alias("same")).mapInArrow(encode, "id long, same long, off float, codes binary, v binary")
+    copy = F.row_number().over(Window.partitionBy("same").orderBy("id"))
+    coded = coded.withColumn("copy", copy).where(F.col("copy") <= top + 1)
+    left = coded.select(place(blocks).alias("block"), "id", "codes", "off", "v").groupBy("block").applyInArrow(pack, "block int, ids binary, codes binary, off binary, v binary")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = rows.where(F.col("id") % every == 0)
     right = asked.select(place(query_blocks).alias("other"), "id", "v").groupBy("other").applyInArrow(pack_queries, "other int, query_ids binary, queries binary")
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = left.join(right, ["block", "other"]).select("ids", "codes", "query_ids", "queries")
-    found = met.mapInArrow(scan, "query_id long, vec_id long, approx float")
-    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("approx").desc(), "vec_id"))
-    found = space.keep(found.withColumn("near", near).where(F.col("near") <= short).select("query_id", "vec_id"), "shortlists")
-    found = found.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("y")), "query_id")
-
-    def products(batches):
-        for batch in batches:
-            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x * y).sum(1))], ["query_id", "vec_id", "score"])
-
-    exact = found.select("query_id", "vec_id", "x", "y").mapInArrow(products, "query_id long, vec_id long, score double")
+    met = left.join(right, ["block", "other"]).select("ids", "codes", "off", "v", "query_ids", "queries")
+    found = met.mapInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -300,3 +300,18 @@ def test_languages(spark, docs, empty):
     assert len(got) == len(texts()) and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (5, 6, 7))
     none = language_id.train(empty.select("doc_id", "text", "lang"))
     assert language_id.identify(empty, none).count() == 0 and {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
+
+
+def test_nearest_in_tight_groups(spark):
+    """Rows that codes do not tell apart are ranked exactly, however many they are."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(10, 64))[rng.integers(0, 10, 12000)] + 0.01 * rng.normal(size=(12000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    d, got = x.astype(float), {}
+    for r in anisotropic_ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = (d * d[q]).sum(1)
+        hit += len(set([k for k in np.lexsort((np.arange(len(s)), -s)) if k != q][:20]) & got[q])
+    assert hit >= 0.99 * 20 * len(got)
