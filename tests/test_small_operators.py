@@ -2,13 +2,14 @@
 
 import datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.api import KnowledgeGraph
 from graphloom.functions import text as X
-from graphloom.operators import analytics, dedup, extract, relate, stats, traverse
+from graphloom.operators import analytics, dedup, extract, relate, stats, traverse, vectors
 from graphloom.sources import files
 from graphloom.streaming import jobs
 
@@ -172,3 +173,20 @@ def test_a_type_is_read_from_its_folder(spark, tmp_path):
     plan = kg.nodes.where("type = 'Pattern'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(type" in plan and kg.nodes.where("type = 'Pattern'").count() == 1
     assert isinstance(kg.nodes.first().timestamp, datetime.datetime)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_products_of_several_blocks(spark, monkeypatch, kind):
+    """Pairs without an order meet once, in one of the two orders of their blocks; blocks are bounded by their components."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k * 7 % 300, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [0.0] * 6)], f"id long, embedding array<{kind}>")
+    ids = np.arange(300) * 7 % 300
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    cosine = np.zeros((300, 300))
+    cosine[np.ix_(ids, ids)] = unit @ unit.T
+    monkeypatch.setattr(vectors, "CELLS", 6 * 70)
+    got = [(r.a, r.b, round(r.score, 9)) for r in vectors.similar_pairs(df, 0.7).collect()]
+    assert sorted(got) == [(a, b, round(float(cosine[a, b]), 9)) for a in range(300) for b in range(a + 1, 300) if cosine[a, b] >= 0.7]
+    near = {(r.src, r["rank"]): r.dst for r in vectors.nearest(df, 5).collect()}
+    assert near == {(a, k + 1): b for a in range(300) for k, b in enumerate([b for b in sorted(range(300), key=lambda b: (-cosine[a, b], b)) if b != a][:5])}
