@@ -1,13 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
 1. Signatures: a line is taken as fixed-width characters (UTF-32), so that a piece of it is cut out in constant time.
-   The eleven characters after each anchor, and the first eleven, are hashed, and eighteen minima over them are gathered
-   by one grouping with partial sums, which also makes equal lines one. Anchors are chosen by content alone: a character
-   beyond ASCII, or one whose code leaves 1 when divided by eight. So like lines choose like pieces, wherever these
-   stand, and no line is without one.
-2. Six bands of three minima: different lines that share a band are candidates. For these alone the sets of *all*
-   shingles of twelve characters are made, one from every character (a line under twelve characters is one shingle),
-   as hashes of 32 bits, and a sketch of each, the hashes that are multiples of eight.
+   *All* its shingles of twelve characters, one from every character (a line under twelve characters is one shingle), are
+   hashed, and eighteen minima over them are gathered by one grouping with partial sums, which also makes equal lines one.
+2. Six bands of three minima: different lines that share a band are candidates. For these alone the sets of shingles
+   are made, as hashes of 32 bits, and a sketch of each, the hashes that are multiples of eight.
 3. Exact verification: the Jaccard similarity of the whole sets must be 0.8 or more. Every candidate is held against one
    pivot first, the line of its buckets that meets most others. What that joins is one component, and components
    that share a bucket are held together by one line of each, in turns, as long as much is left. Then all lines of
@@ -33,11 +30,10 @@ BANDS, ROWS = 6, 3
 TURNS, PAIRS = 2, 32
 #: A pair goes on to verification unless its sketches are that many standard deviations under the similarity.
 SPREAD = 2.5
-#: Every shingle of a line, and the characters of the pieces that follow its beginning and its anchors.
-SHINGLE, PIECE = r"(?s)(?=(.{12}|\A.{1,11}\z)).", 11
+#: Every shingle of a line, and its characters.
+SHINGLE, LENGTH = r"(?s)(?=(.{12}|\A.{1,11}\z)).", 12
 _LAST = (1 << 63) - 1
 _MASK = (1 << 31) - 1
-_ASCII_END = bytearray((128).to_bytes(4, "big"))
 
 
 def _multipliers(n: int) -> list[tuple[int, int]]:
@@ -63,13 +59,10 @@ def shingle_set(line) -> "F.Column":
 
 def signatures(lines: DataFrame) -> DataFrame:
     """line_id and its bands (array of long) from line_id, line."""
-    # the place of a character, in bytes; that before the first stands for the beginning
-    places = F.sequence(F.lit(-3), F.length("wide") - 3, F.lit(4))
+    # where shingles begin, in bytes; a short line is one
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("wide") - (4 * LENGTH - 1)), F.lit(4))
     at = lines.select("line_id", F.encode("line", "UTF-32").alias("wide")).select("line_id", "wide", F.explode(places).alias("at"))
-    char = F.substring("wide", F.col("at"), F.lit(4))
-    anchor = (char >= F.lit(_ASCII_END)) | _hash(char).isin([_hash(F.lit(bytearray(c.to_bytes(4, "big")))) for c in range(1, 128, 8)])
-    drawn = at.where((F.col("at") < 0) | ((F.col("at") + 4 * PIECE + 3 <= F.length("wide")) & anchor))
-    drawn = drawn.select("line_id", F.xxhash64(F.substring("wide", F.col("at") + 4, F.lit(4 * PIECE))).bitwiseAND(F.lit(_MASK)).alias("h"))
+    drawn = at.select("line_id", F.xxhash64(F.substring("wide", F.col("at"), F.lit(4 * LENGTH))).bitwiseAND(F.lit(_MASK)).alias("h"))
     minima = [F.min(F.shiftright(F.col("h") * F.lit(a) + F.lit(b), 16).bitwiseAND(F.lit(_MASK))).alias(f"m{k}") for k, (a, b) in enumerate(_multipliers(BANDS * ROWS))]
     found = drawn.groupBy("line_id").agg(*minima)
     return found.select("line_id", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS))).alias("bands"))

@@ -315,3 +315,14 @@ def test_nearest_in_tight_groups(spark):
         s = (d * d[q]).sum(1)
         hit += len(set([k for k in np.lexsort((np.arange(len(s)), -s)) if k != q][:20]) & got[q])
     assert hit >= 0.99 * 20 * len(got)
+
+
+def test_lines_are_seen_at_every_place(spark):
+    """Lines that are alike are found whatever characters they hold and wherever they differ."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(20):
+        body = "".join(rng.choice(list("bcdefghjklmnoprstuvwxz "), 240)).strip()
+        rows += [(2 * k, f"B{body}"), (2 * k + 1, f"C{body}")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k] for k in range(0, 40, 2)) == 0 and sum(got[k] for k in range(1, 40, 2)) >= 19
