@@ -19,6 +19,8 @@ from graphloom.llm.ngram_join import one_of_each
 from graphloom.llm.toxicity import score_column_kept, train
 
 SEED = "mix-1"
+#: Executors hold what earlier stages left, so tokens are made in smaller blocks than alone.
+BLOCK_CHARS = 6_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    both = decode(encode(docs, path, public_tokenizers.PATTERN, block_chars=BLOCK_CHARS), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

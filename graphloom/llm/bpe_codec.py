@@ -112,11 +112,11 @@ def ragged(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarr
     return np.arange(int(n.sum())) + np.repeat(starts[which] - before, n)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id and ids (array of int) of each row's whole text, without special tokens.
 
     Null texts count as empty and give an empty array. Rows keep apart even where ids repeat or are null; further
-    columns are left out. An empty table gives an empty result.
+    columns are left out. An empty table gives an empty result. Smaller blocks take less memory and send more words.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
                 keys.append(key)
                 held.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 chars += len(text)
-                if chars >= BLOCK_CHARS:
+                if chars >= block_chars:
                     yield from flush(numbers, keys, held)
                     numbers, keys, held, chars, block = _Numbers(), [], [], 0, block + 1
         if held:

@@ -326,3 +326,10 @@ def test_lines_are_seen_at_every_place(spark):
         rows += [(2 * k, f"B{body}"), (2 * k + 1, f"C{body}")]
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[k] for k in range(0, 40, 2)) == 0 and sum(got[k] for k in range(1, 40, 2)) >= 19
+
+
+def test_tokens_do_not_depend_on_blocks(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(k, f"some words {k % 7} of a text, and more words\n" * (k % 5)) for k in range(60)], "doc_id long, text string")
+    made = lambda **how: {r.doc_id: list(r.ids) for r in bpe_codec.encode(docs, path, P.PATTERN, **how).collect()}
+    assert len(made()) == 60 and made(block_chars=100) == made()
