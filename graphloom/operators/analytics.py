@@ -51,14 +51,20 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> D
     raise RuntimeError("labels did not settle in 1000 rounds")
 
 
-def modularity(communities: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: modularity of a partition (id, community)."""
-    pairs = undirected(edges)
+def community_edges(communities: DataFrame, edges: DataFrame) -> DataFrame:
+    """c1, c2, edges: edges inside each community (c1 = c2) and between each two (c1 < c2, or c1 is null) that have any."""
     c = lambda side: communities.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
-    both = pairs.join(c("u"), "u").join(c("v"), "v")
-    inner = both.where("c_u = c_v").groupBy(F.col("c_u").alias("community")).agg(F.count(F.lit(1)).alias("inner"))
-    degree = both.select(F.explode(F.array("c_u", "c_v")).alias("community")).groupBy("community").agg(F.count(F.lit(1)).alias("degree"))
-    m = pairs.agg(F.count(F.lit(1)).alias("m"))
+    turned = F.coalesce(F.col("c_u") > F.col("c_v"), F.col("c_v").isNull())
+    first, second = F.when(turned, F.col("c_v")).otherwise(F.col("c_u")), F.when(turned, F.col("c_u")).otherwise(F.col("c_v"))
+    return undirected(edges).join(c("u"), "u").join(c("v"), "v").groupBy(first.alias("c1"), second.alias("c2")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+def modularity(communities: DataFrame, edges: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """One row: modularity of a partition (id, community). counts: as community_edges gives them, if every node of an edge has a community and they are known already."""
+    m = undirected(edges).agg(F.count(F.lit(1)).alias("m")) if counts is None else counts.agg(F.sum("edges").alias("m"))
+    counts = community_edges(communities, edges) if counts is None else counts
+    inner = counts.where("c1 = c2").select(F.col("c1").alias("community"), F.col("edges").alias("inner"))
+    degree = counts.select(F.explode(F.array("c1", "c2")).alias("community"), "edges").groupBy("community").agg(F.sum("edges").alias("degree"))
     part = F.coalesce("inner", F.lit(0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)
     return degree.join(inner, "community", "left").crossJoin(F.broadcast(m)).agg(F.sum(part).alias("modularity"))
 
@@ -85,11 +91,11 @@ def weak_members(communities: DataFrame, edges: DataFrame) -> DataFrame:
     return found.where("missing > 0").select("id", "community", "missing")
 
 
-def cluster_gaps(communities: DataFrame, edges: DataFrame, least: int = 2, weak: int = 2, sample: int = 5) -> DataFrame:
+def cluster_gaps(communities: DataFrame, edges: DataFrame | None = None, least: int = 2, weak: int = 2, sample: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """community_pair_gaps with size and first ids of both communities."""
     known = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).join(samples(communities, sample), "community")
     of = lambda k: known.select(F.col("community").alias(f"c{k}"), F.col("size").alias(f"size{k}"), F.col("sample_nodes").alias(f"sample{k}"))
-    return community_pair_gaps(communities, edges, least, weak).join(of(1), "c1").join(of(2), "c2")
+    return community_pair_gaps(communities, edges, least, weak, counts).join(of(1), "c1").join(of(2), "c2")
 
 
 def severities(gaps: DataFrame) -> DataFrame:
@@ -119,27 +125,23 @@ def critical(gaps: DataFrame, order: list[str], severity: str = "HIGH", n: int =
     return gaps.where(F.col("severity") == severity).orderBy(*order).limit(n)
 
 
-def weak_connections(communities: DataFrame, edges: DataFrame) -> DataFrame:
-    """community, size, edges, missing: pairs inside each community without an edge."""
-    both = _inner(communities, edges)
+def weak_connections(communities: DataFrame, edges: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """community, size, edges, missing: pairs inside each community without an edge. counts: community_edges, if known."""
+    counts = community_edges(communities, edges) if counts is None else counts
+    both = counts.where("c1 = c2").select(F.col("c1").alias("community"), "edges")
     size = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     return size.join(both, "community", "left").select("community", "size", F.coalesce("edges", F.lit(0)).alias("edges"), (F.floor(F.col("size") * (F.col("size") - 1) / 2) - F.coalesce("edges", F.lit(0))).cast("long").alias("missing"))
 
 
-def _inner(communities: DataFrame, edges: DataFrame) -> DataFrame:
-    c = lambda side: communities.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
-    return undirected(edges).join(c("u"), "u").join(c("v"), "v").where("c_u = c_v").groupBy(F.col("c_u").alias("community")).agg(F.count(F.lit(1)).alias("edges"))
-
-
-def community_pair_gaps(communities: DataFrame, edges: DataFrame, least: int = 2, weak: int = 2) -> DataFrame:
+def community_pair_gaps(communities: DataFrame, edges: DataFrame | None = None, least: int = 2, weak: int = 2, counts: DataFrame | None = None) -> DataFrame:
     """c1, c2, edges, gap_type, severity for pairs of communities of at least that size with no or few edges between.
 
-    Pairs are of communities, not of nodes; the list of communities of a least size is what is paired.
+    Pairs are of communities, not of nodes; the list of communities of a least size is what is paired. counts: community_edges, if known.
     """
+    counts = community_edges(communities, edges) if counts is None else counts
     large = communities.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("community")
     pairs = large.select(F.col("community").alias("c1")).join(large.select(F.col("community").alias("c2")), F.col("c1") < F.col("c2"))
-    c = lambda side: communities.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
-    between = undirected(edges).join(c("u"), "u").join(c("v"), "v").where("c_u <> c_v").groupBy(F.least("c_u", "c_v").alias("c1"), F.greatest("c_u", "c_v").alias("c2")).agg(F.count(F.lit(1)).alias("edges"))
+    between = counts.where("c1 <> c2")
     found = pairs.join(between, ["c1", "c2"], "left").withColumn("edges", F.coalesce("edges", F.lit(0))).where(F.col("edges") <= weak)
     none = F.col("edges") == 0
     return found.withColumn("gap_type", F.when(none, "disconnected_clusters").otherwise("weak_connection")).withColumn("severity", F.when(none, "HIGH").otherwise("MEDIUM"))

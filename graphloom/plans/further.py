@@ -130,7 +130,7 @@ def community_samples(spark, sf):
 @query(f"with {PART_SQL}, s as (select community, count(*) as size, array_to_string(list_sort(list(id))[1:5], ',') as sample from c group by 1), b as (select least(cu, cv) as c1, greatest(cu, cv) as c2, count(*) as edges from ends where cu <> cv group by 1, 2) select x.community as c1, y.community as c2, coalesce(edges, 0) as edges, case when coalesce(edges, 0) = 0 then 'HIGH' else 'MEDIUM' end as severity, x.size as size1, y.size as size2, x.sample as sample1, y.sample as sample2 from s x join s y on x.community < y.community left join b on b.c1 = x.community and b.c2 = y.community where x.size >= 2 and y.size >= 2 and coalesce(edges, 0) <= 3 order by c1, c2 limit 10")
 def critical_cluster_gaps(spark, sf):
     """The first ten gaps of high severity, or fewer connections than four, between communities, with what they hold."""
-    gaps = A.cluster_gaps(parts(spark, sf), S.vector_edges(spark, sf), weak=3).drop("gap_type")
+    gaps = A.cluster_gaps(parts(spark, sf), weak=3, counts=S.label_edges(spark, sf)).drop("gap_type")
     return gaps.withColumns({f"sample{k}": F.array_join(F.col(f"sample{k}").cast("array<string>"), ",") for k in (1, 2)}).orderBy("c1", "c2").limit(10)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.vectors import similar_pairs
+from ..operators.vectors import similar_counts, similar_forest, similar_pairs
 
 SIMILAR = 0.35
 
@@ -115,3 +115,13 @@ def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst (src < dst) of similar vectors."""
     return similar(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: links with the components of vector_edges, as many as vectors for each pair of blocks at most."""
+    return similar_forest(table(spark, sf_dir, "embeddings"), SIMILAR, "vec_id", "embedding").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def label_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c1, c2, edges: vector_edges counted by the labels of their ends."""
+    return similar_counts(table(spark, sf_dir, "embeddings"), SIMILAR, "label", "vec_id", "embedding")

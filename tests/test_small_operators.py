@@ -190,3 +190,29 @@ def test_products_of_several_blocks(spark, monkeypatch, kind):
     assert sorted(got) == [(a, b, round(float(cosine[a, b]), 9)) for a in range(300) for b in range(a + 1, 300) if cosine[a, b] >= 0.7]
     near = {(r.src, r["rank"]): r.dst for r in vectors.nearest(df, 5).collect()}
     assert near == {(a, k + 1): b for a in range(300) for k, b in enumerate([b for b in sorted(range(300), key=lambda b: (-cosine[a, b], b)) if b != a][:5])}
+
+
+def test_components_and_counts_leave_no_row_for_each_pair(spark, monkeypatch):
+    """Three tight groups, of which two touch: thousands of similar pairs, but links and counts no more than vectors of the blocks that meet."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.eye(3), 60, 0) + rng.normal(size=(180, 3)) * 0.02
+    x = np.concatenate([x, [[1.0, 1.0, 0.0]], [[-1.0, -1.0, -1.0]]])
+    group = [None if k % 17 == 3 else k % 4 for k in range(182)]
+    df = spark.createDataFrame([(k, v.tolist(), g) for k, (v, g) in enumerate(zip(x, group))] + [(900, None, 1)], "id long, embedding array<double>, part int")
+    monkeypatch.setattr(vectors, "CELLS", 3 * 50)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    pairs = [(a, b) for a in range(182) for b in range(a + 1, 182) if unit[a] @ unit[b] >= 0.6]
+    forest = vectors.similar_forest(df, 0.6)
+    assert len(pairs) > 5000 and forest.count() < 4 * 182 * 4
+    assert all(a < b for a, b in forest.collect())
+    edges = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    same = lambda e: sorted(tuple(r) for r in analytics.components(df.select("id"), e).collect())
+    found = same(forest.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    assert found == same(edges(pairs)) and len({c for _, c in found}) == 4
+    parts = df.select("id", F.col("part").cast("long").alias("community"))
+    counted = vectors.similar_counts(df, 0.6, "part")
+    as_set = lambda d: sorted((tuple(r) for r in d.select("c1", "c2", "edges").collect()), key=str)
+    assert as_set(counted) == as_set(analytics.community_edges(parts, edges(pairs)))
+    for f in (analytics.weak_connections, analytics.community_pair_gaps, analytics.modularity):
+        rows = lambda d: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
+        assert rows(f(parts, edges(pairs))) == rows(f(parts, counts=counted))
