@@ -34,9 +34,10 @@ def find_related(edges: DataFrame, start: DataFrame, depth: int = 1, mode: str =
     if depth < 1:
         return start.select("id", F.lit(0).alias("distance")).limit(0)
     if mode == "shortest":
-        links = symmetric(edges.select("src", "dst").distinct()).distinct()
-        reached = start.select("id", F.lit(0).alias("distance"))
-        frontier = reached.select("id")
+        # repeated edges go with the repeated ids of a step, so the edges themselves are never dealt out for it
+        links = symmetric(cut(edges.select("src", "dst")))
+        frontier = cut(start.select("id").distinct())  # a table's size is known: a small one is broadcast, and the edges stay where they are
+        reached = frontier.select("id", F.lit(0).alias("distance"))
         for d in range(1, depth + 1):
             step = frontier.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
             frontier = cut(step.join(reached, "id", "left_anti"))
@@ -44,10 +45,10 @@ def find_related(edges: DataFrame, start: DataFrame, depth: int = 1, mode: str =
         return reached.where("distance > 0")
     numbered = cut(edges.select("src", "dst", F.xxhash64(*sorted(edges.columns)).alias("h")).withColumn("edge", F.struct("h", F.monotonically_increasing_id())).select("src", "dst", "edge"))
     links = symmetric(numbered).select(F.col("src").alias("at"), "dst", "edge")
-    paths = start.select(F.col("id").alias("at"), F.array().cast("array<struct<h:bigint,col2:bigint>>").alias("used"))
+    paths = cut(start.select(F.col("id").alias("at"), F.array().cast("array<struct<h:bigint,col2:bigint>>").alias("used")))
     found = None
     for d in range(1, depth + 1):
-        paths = paths.join(links, "at").where(~F.array_contains("used", F.col("edge"))).select(F.col("dst").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
+        paths = cut(paths.join(links, "at").where(~F.array_contains("used", F.col("edge"))).select(F.col("dst").alias("at"), F.array_append("used", F.col("edge")).alias("used")))
         here = paths.select(F.col("at").alias("id"), F.lit(d).alias("distance")).distinct()
         found = here if found is None else found.union(here)
     return found
@@ -55,6 +56,7 @@ def find_related(edges: DataFrame, start: DataFrame, depth: int = 1, mode: str =
 
 def subgraph(edges: DataFrame, start: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """Ids within depth of the start, with the start, and the edges that have both ends among them."""
+    edges = cut(edges)
     ids = cut(find_related(edges, start, depth).select("id").union(start.select("id")).distinct())
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return ids, inside

@@ -1,6 +1,7 @@
 """Hand-made graphs with known answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import analytics as A
 from graphloom.operators import traverse as G
@@ -31,6 +32,27 @@ def test_star(spark):
     assert table(A.clustering(n, e), "id", "coefficient")["x"] == 0
 
 
+@pytest.mark.parametrize("mode", ["shortest", "trail"])
+def test_walks_from_few_ids_leave_the_edges_where_they_are(spark, monkeypatch, mode):
+    """No step deals all edges out by a key: the ids or paths it starts from are small tables, and are broadcast."""
+    plans = []
+
+    def watched(df, keep=G.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(G, "cut", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20_000)  # the edges are larger
+    e = spark.range(20_000).select(F.concat(F.lit("a"), F.col("id") % 5000).alias("src"), F.concat(F.lit("a"), (F.col("id") * 7 + 1) % 5000).alias("dst"))
+    try:
+        got = {(r.id, r.distance) for r in G.find_related(e, spark.createDataFrame([("a3",), ("a3",)], "id string"), 2, mode).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("a22", 1) in got and ("a155", 2) in got
+    steps = [p for p in plans if "Join" in p]
+    assert len(steps) == 2 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in steps)
+
+
 def test_triangle_modes(spark):
     _, e = graph(spark, "abc", [("a", "b"), ("b", "c"), ("c", "a")])
     start = spark.createDataFrame([("a",)], "id string")
