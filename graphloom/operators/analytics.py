@@ -10,6 +10,7 @@ from .centrality import betweenness
 from .communities import greedy_communities, louvain  # noqa: F401  part of this module's names
 from .traverse import isolated, undirected
 from .triangles import triangles
+from .votes import VOTES, neighbourhoods, voted
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,20 +32,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = jumped.select("id", "component")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20, per_bucket: int = VOTES) -> DataFrame:
     """id, community: each round every node takes the most frequent label around it, its own counted, ties to the smaller; ends when none would change.
 
     All nodes move at once; where that has not settled after `rounds`, labels may swing between two states, so from then on only the half that a hash of
-    id and round names moves. A thousand rounds without an end are an error, not a result.
+    id and round names moves. A thousand rounds without an end are an error, not a result. Neighbourhoods are packed once in buckets of about `per_bucket` ends, and
+    a round moves these and a label for each node that a bucket asks for: votes are counted inside.
     """
-    pairs = undirected(edges)
-    links = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).union(pairs.select("v", "u")).union(nodes.select("id", "id")))
-    labels = cut(nodes.select("id", F.col("id").alias("community")))
-    first = Window.partitionBy("a").orderBy(F.col("n").desc(), "community")
+    pairs = cut(undirected(edges))
+    ids = nodes.select("id").distinct()
+    links = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).union(pairs.select("v", "u")).join(ids.withColumnRenamed("id", "b"), "b", "left_semi").join(ids.withColumnRenamed("id", "a"), "a", "left_semi")
+    near, asked = neighbourhoods(links.select("a", "b").union(ids.select("id", "id")), -(-(2 * pairs.count() + ids.count()) // per_bucket))
+    labels = cut(ids.select("id", F.col("id").alias("community")))
     for turn in range(1000):
-        votes = links.join(labels, F.col("b") == F.col("id")).groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("a").alias("id"), F.col("community").alias("new"))
-        both = cut(labels.join(best, "id"))
+        both = cut(voted(near, asked, labels))
         if both.where("community <> new").isEmpty():
             return labels
         moves = F.lit(True) if turn < rounds else F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
