@@ -1,24 +1,25 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
-1. Signatures: a line is taken as fixed-width characters (UTF-32), so that a piece of it is cut out in constant time.
-   *All* its shingles of twelve characters, one from every character (a line under twelve characters is one shingle), are
-   hashed, and eighteen minima over them are gathered by one grouping with partial sums, which also makes equal lines one.
+1. Equal lines are made one first. A line is taken as fixed-width characters (UTF-32), so that a piece of it is cut out in constant time.
+   *All* its shingles of twelve characters, one from every character (a line under twelve characters is one
+   shingle), are hashed, and eighteen minima over them are gathered by one grouping.
 2. Six bands of three minima: different lines that share a band are candidates. For these alone the sets of shingles
    are made, as hashes of 32 bits, and a sketch of each, the hashes that are multiples of eight.
 3. Exact verification: the Jaccard similarity of the whole sets must be 0.8 or more. Every candidate is held against one
-   pivot first, the line of its buckets that meets most others. What that joins is one component, and components
-   that share a bucket are held together by one line of each, in turns, as long as much is left. Then all lines of
-   a bucket that are still in different components are paired, where their sketches allow a similarity of 0.8 (within
-   SPREAD standard deviations), and verified. Pairs inside a component are never made.
+   pivot first, the line of its buckets that meets most others. What that joins is one component. Buckets that hold more
+   than one component are dealt into blocks of some BLOCK lines with their sets: first lines of one block are held together,
+   then, where a bucket still holds more than one component, lines of each two of its blocks; where sketches allow a similarity of 0.8 (within
+   SPREAD standard deviations) the sets decide. Pairs inside a component are never compared, and no row for a pair leaves
+   a task, only one for each two components that are found alike.
 4. Links become components (distributed union-find); of each component, the line that stands first, by document id
    and place, stays, and all others are removed.
 
-Equal lines are one component from the start. Blank lines are not compared and stay.
+Blank lines are not compared and stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, fresh
@@ -26,12 +27,12 @@ from .graph import components
 
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 3
-#: Turns in which components are held together by one line of each; they end when no more than PAIRS pairs for each candidate are left.
-TURNS, PAIRS = 2, 32
+#: Lines of a bucket that are held together at once, about, and parts at most that the pairs of blocks of a bucket are dealt in.
+BLOCK, DEALS = 32, 16
 #: A pair goes on to verification unless its sketches are that many standard deviations under the similarity.
-SPREAD = 2.5
-#: Every shingle of a line, and its characters.
-SHINGLE, LENGTH = r"(?s)(?=(.{12}|\A.{1,11}\z)).", 12
+SPREAD = 4.0
+#: Characters of a shingle, and shingles that are hashed in one row.
+LENGTH, STEP = 12, 8
 _LAST = (1 << 63) - 1
 _MASK = (1 << 31) - 1
 
@@ -48,22 +49,31 @@ def _multipliers(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _hash(value) -> "F.Column":
-    return F.shiftright(F.xxhash64(value), 32).cast("int")
+def _drawn(lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of STEP shingles of the lines (line_id, line) that follow each other, as hashes, and their columns; after the last shingle it is repeated."""
+    # where shingles begin, in bytes; a short line is one
+    last = F.greatest(F.lit(1), F.length("wide") - (4 * LENGTH - 1))
+    at = lines.select("line_id", F.encode("line", "UTF-32").alias("wide")).select("line_id", "wide", last.alias("last"))
+    at = at.select("line_id", "wide", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(4 * STEP))).alias("at"))
+    shingle = lambda k: F.substring("wide", F.least(F.col("at") + 4 * k, "last"), F.lit(4 * LENGTH))
+    names = [f"h{k}" for k in range(STEP)]
+    return at.select("line_id", *(F.xxhash64(shingle(k)).alias(h) for k, h in enumerate(names))), names
 
 
-def shingle_set(line) -> "F.Column":
-    """Hashes of the different shingles."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), _hash))
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """line_id and the set of the line's shingles, as hashes of 32 bits, from line_id, line (each line once)."""
+    drawn, names = _drawn(lines)
+    some = drawn.select("line_id", F.array(*(F.shiftright(h, 32).cast("int") for h in names)).alias("some"))
+    return some.groupBy("line_id").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("set"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """line_id and its bands (array of long) from line_id, line."""
-    # where shingles begin, in bytes; a short line is one
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("wide") - (4 * LENGTH - 1)), F.lit(4))
-    at = lines.select("line_id", F.encode("line", "UTF-32").alias("wide")).select("line_id", "wide", F.explode(places).alias("at"))
-    drawn = at.select("line_id", F.xxhash64(F.substring("wide", F.col("at"), F.lit(4 * LENGTH))).bitwiseAND(F.lit(_MASK)).alias("h"))
-    minima = [F.min(F.shiftright(F.col("h") * F.lit(a) + F.lit(b), 16).bitwiseAND(F.lit(_MASK))).alias(f"m{k}") for k, (a, b) in enumerate(_multipliers(BANDS * ROWS))]
+    drawn, names = _drawn(lines)
+    drawn = drawn.select("line_id", *(F.col(h).bitwiseAND(F.lit(_MASK)).alias(h) for h in names))
+    # one update of a line's minima for STEP shingles
+    drawn_by = lambda a, b: F.least(*(F.shiftright(F.col(h) * F.lit(a) + F.lit(b), 16).bitwiseAND(F.lit(_MASK)) for h in names))
+    minima = [F.min(drawn_by(a, b)).alias(f"m{k}") for k, (a, b) in enumerate(_multipliers(BANDS * ROWS))]
     found = drawn.groupBy("line_id").agg(*minima)
     return found.select("line_id", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
 
@@ -93,50 +103,65 @@ def _pairs(of: DataFrame, x: str, y: str) -> DataFrame:
     return of.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _several(places: DataFrame) -> DataFrame:
+    """Of the places (band, line_id, root) those in bands that hold more than one component, with the block of the band that the line lies in and their number."""
+    bands = places.groupBy("band").agg(F.count(F.lit(1)).alias("lines"), F.min("root").alias("low"), F.max("root").alias("high"))
+    several = bands.where("low < high").select("band", F.ceil(F.col("lines") / BLOCK).alias("blocks"))
+    return places.select("band", "line_id", "root").join(several, "band").withColumn("block", F.pmod(F.xxhash64("line_id"), "blocks"))
+
+
+def _met(places: DataFrame, sets: DataFrame, similarity: float, inside: bool) -> DataFrame:
+    """Pairs (a, b) of components of which two lines meet in a band and are alike, within a block or between blocks. Blocks meet, and no row for a pair of lines leaves a task."""
+    line = F.struct("line_id", "root", "size", "sketch", "set")
+    packed = places.join(sets, "line_id").groupBy("band", "block", "blocks").agg(F.collect_list(line).alias("lines"))  # some BLOCK lines
+    if inside:
+        met = packed.select("lines", F.explode("lines").alias("x")).select("x", F.explode("lines").alias("y")).where("x.line_id < y.line_id")
+    else:
+        # a band of many blocks is dealt over several tasks
+        deals = F.least(F.lit(DEALS), F.ceil(F.sqrt("blocks"))).cast("int")
+        x = packed.select("band", F.col("block").alias("block_x"), F.col("lines").alias("lines_x"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+        y = packed.select("band", F.col("block").alias("block_y"), F.col("lines").alias("lines_y"), F.pmod("block", deals).cast("int").alias("deal"))
+        met = x.join(y, ["band", "deal"]).where("block_x < block_y").select("lines_y", F.explode("lines_x").alias("x")).select("x", F.explode("lines_y").alias("y"))
+    like = _fits(F.col("x.size"), F.col("y.size"), similarity) & alike("x.sketch", "y.sketch", similarity, SPREAD) & alike("x.set", "y.set", similarity)
+    return met.where((F.col("x.root") != F.col("y.root")) & like).select(F.least("x.root", "y.root").alias("a"), F.greatest("x.root", "y.root").alias("b")).distinct()
+
+
+def _renamed(of: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """of, with the components in a column by their new names, where they have any."""
+    new = found.select(F.col("node").alias(column), F.col("root").alias("now"))
+    return of.join(new, column, "left").withColumn(column, F.coalesce("now", column)).drop("now")
+
+
 def line_classes(lines: DataFrame, space: Workspace, similarity: float = SIMILARITY) -> DataFrame:
     """node, root for the lines (line_id, line) that are like a different line; other lines are classes of their own."""
+    buckets = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each line once, where its minima and its set are made
+    lines = space.keep_bucketed(lines.groupBy("line_id").agg(F.first("line").alias("line")), "lines", "line_id", buckets)
     signed = space.keep(signatures(lines), "signatures")
     bands = signed.select("line_id", F.explode("bands").alias("band"))
-    common = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = space.keep(bands.join(space.keep(common, "common"), "band"), "met")
+    met = space.keep(bands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1"), "met")
     weight = space.keep(met.groupBy("line_id").agg(F.sum("n").alias("weight")), "weights")
     met = space.keep(met.join(weight, "line_id").select("band", "line_id", "weight"), "buckets")
-    found = lines.join(weight.select(F.col("line_id").alias("wanted")), F.col("line_id") == F.col("wanted"))
-    found = found.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", shingle_set(F.col("line")).alias("set"))
+    found = shingle_sets(lines.join(weight.select("line_id"), "line_id"))
     found = found.withColumn("sketch", F.filter("set", lambda h: h.bitwiseAND(F.lit(7)) == 0)).withColumn("size", F.size("set"))
-    sets = space.keep_bucketed(found, "sets", "line_id", int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sets = space.keep_bucketed(found, "sets", "line_id", buckets)
     # a line that meets many others is likely what they are copies of
     chief = F.max(F.struct("weight", "line_id"))
     pivots = space.keep(met.groupBy("band").agg(chief.alias("pivot")), "pivots")
     tried = met.join(pivots, "band").where(F.col("line_id") != F.col("pivot.line_id")).groupBy("line_id").agg(F.max("pivot").alias("pivot"))
     links = space.keep(_links(_pairs(tried.select("line_id", F.col("pivot.line_id").alias("other")), "line_id", "other"), sets, similarity), "links")
     joined = space.keep(components(links, space), "joined")
-    members = weight.count()
-    for turn in range(TURNS + 1):
-        # what stands in the buckets that hold more than one component
-        rooted = met.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
-        parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("order"), "line_id")).alias("one"))
-        parts = space.keep(parts, "parts")
-        several = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "root", "one")).alias("top"))
-        several = space.keep(several.where("parts > 1"), "several")
-        left = several.agg(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2)).first()[0]
-        if not left:
-            break
-        if turn == TURNS or left <= PAIRS * members:
-            apart = rooted.join(several.select("band"), "band").join(sets.select("line_id", "sketch", "size"), "line_id").join(signed, "line_id")
-            x, y = (apart.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("line_id", "root", "sketch", "size", "bands"))) for k in "xy")
-            # a pair is made in the smallest of the bands that it shares, so once
-            once = F.array_min(F.array_intersect("bands_x", "bands_y")) == x["band"]
-            may = _fits(F.col("size_x"), F.col("size_y"), similarity) & once & alike("sketch_x", "sketch_y", similarity, SPREAD)
-            pairs = _pairs(x.join(y, (x["band"] == y["band"]) & (F.col("line_id_x") < F.col("line_id_y")) & (F.col("root_x") != F.col("root_y")) & may), "line_id_x", "line_id_y")
-        else:
-            pairs = _pairs(parts.join(several, "band").where(F.col("root") != F.col("top.root")).select(F.col("one.line_id").alias("line_x"), F.col("top.one.line_id").alias("line_y")), "line_x", "line_y")
-        more = space.keep(_links(pairs, sets, similarity), "more")
-        if more.limit(1).count():
-            links = links.union(more)
-            joined = space.keep(components(links, space), "joined")
-        if turn == TURNS or left <= PAIRS * members:
-            break
+    places = met.join(joined.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
+    for inside in (True, False):
+        places = space.keep(_several(places), "places")
+        if not inside:  # bands of one block are done
+            places = places.where("blocks > 1")
+        found = space.keep(_met(places, sets, similarity, inside), "found")
+        if found.limit(1).count():
+            found = space.keep(components(found, space), "roots")
+            places = _renamed(places, "root", found)
+            alone = found.join(joined.select("node"), "node", "left_anti").select("node", "root")
+            joined = space.keep(_renamed(joined, "root", found).select("node", "root").union(alone), "joined")
     return joined
 
 

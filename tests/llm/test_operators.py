@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import anisotropic_ann, bpe, bpe_codec, language_id, line_dedup, mixing, ngram_join, suffix_dedup, syncmers, token_counts, toxicity
+from graphloom.llm.common import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tie string, block int, shard int, q double, size long, copies string, n_lines string, key string, root string, band long, line_id long"
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -95,6 +96,41 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", (2, 7, 100))
+def test_line_classes_in_blocks(spark, monkeypatch, block):
+    """Lines of one bucket that one pivot leaves apart are all held together, in a block and between blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "DEALS", 3)
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefghij klmno") for _ in range(240))
+    lines = []
+    for n in range(90):
+        chars = list(base)
+        for _ in range(n % 6):
+            chars[r.randrange(len(chars))] = r.choice("PQRSTUVW")
+        lines.append("".join(chars))
+    lines = list(enumerate(dict.fromkeys(lines)))
+    df = spark.createDataFrame(lines, "line_id long, line string")
+    bands = {x.line_id: set(x.bands) for x in line_dedup.signatures(df).collect()}
+    sets = {n: {line[k : k + 12] for k in range(len(line) - 11)} for n, line in lines}
+    root = {n: n for n, _ in lines}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in sets:
+        for b in sets:
+            if a < b and bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    alone = {n for n in root if top(n) == n and sum(top(m) == n for m in root) == 1}
+    got = {x.node: x.root for x in line_dedup.line_classes(df, Workspace(spark, "t")).collect()}
+    assert got == {n: top(n) for n in root if n not in alone}
+    assert len(set(got.values())) + len(alone) > 1
+
+
 def test_line_dedup_by_every_character(spark):
     every = lambda x: {x[k : k + 12] for k in range(max(1, len(x) - 11))}
     long = prose(40, 16)
