@@ -53,6 +53,24 @@ def test_walks_from_few_ids_leave_the_edges_where_they_are(spark, monkeypatch, m
     assert len(steps) == 2 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in steps)
 
 
+def test_first_edge_in_a_triangle(spark):
+    """The first by a, then b, whether it lies among the first ids or only triangles find it; b need not be a's first neighbour."""
+    _, e = graph(spark, "", [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b2"), ("d", "x"), ("x", "c"), ("y", "x"), ("y", "d"), ("b", "b")])
+    for few in (1, 2, 100):
+        assert G.first_in_triangle(e, few) == ("c", "d")
+    _, e = graph(spark, "", [("a", "b"), ("a", "y"), ("a", "z"), ("z", "y")])
+    assert G.first_in_triangle(e) == ("a", "y") and G.first_in_triangle(e.where("dst <> 'z'")) is None
+
+
+def test_paths_do_not_pair_all_neighbours(spark, monkeypatch):
+    """all_paths_between sorts no table of every two neighbours of every node: the neighbourhoods joined are of at most 100 ids."""
+    from graphloom.plans import queries as plans
+
+    names = []
+    monkeypatch.setattr(G, "first_in_triangle", lambda e, few=100, f=G.first_in_triangle: (names.append(few), f(e, few))[1])
+    assert plans.queries()["all_paths_between"](spark, "/root/testdata/sf0.001").count() > 0 and names == [100]
+
+
 def test_triangle_modes(spark):
     _, e = graph(spark, "abc", [("a", "b"), ("b", "c"), ("c", "a")])
     start = spark.createDataFrame([("a",)], "id string")
