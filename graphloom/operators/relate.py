@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REFERENCES, WORD4
-from ..session import kept
+from ..session import kept, ship
 from .traverse import endpoints_exist, strongest_of_each
 from .vectors import nearest
 
@@ -39,43 +41,98 @@ def explicit_references(texts: DataFrame, rules=REFERENCES) -> DataFrame:
     return runs.join(known, "fragment").where("src <> dst").select("src", "dst", "rel_type", "weight").distinct()
 
 
-SPLIT = 20_000  # texts of one word that meet in one place
+#: Words of a block of sets, about; columns of the most frequent words, and those that the others share; sets compared at a time.
+SPLIT, OWN, SHARED, STEP = 1 << 21, 3072, 1024, 1024
 
 
 def word_overlap(left: DataFrame, right: DataFrame, above: float = 0.3, cap: float = 0.8, rel_type: str = "IMPLEMENTS", split: int = SPLIT) -> DataFrame:
     """Edges left -> right whose sets of words of four letters and more have a Jaccard similarity above the bound; weight is the similarity, capped.
 
-    Exact, without comparing all pairs. Words are numbered from rare to frequent and each set is sorted. Sets of sizes n >= m over the
-    bound share more than bound / (1 + bound) * (n + m) words, so they share one among the first n - bound * n of the longer and
-    the first m - 2 * bound / (1 + bound) * m of the shorter: only these are joined. A shared word at places p and q leaves at most
-    min(p, q) + 1 + min(n - p, m - q) - 1 in common, and so do all that a pair shares there, counted, with what lies behind the last: pairs
-    that cannot reach the bound go before their sets are fetched. A word of very many texts is split: one side in parts, the other repeated for each.
+    Exact. Sets are packed in blocks of about `split` words and every block of the left meets every one of the right, so no row for a word that two
+    sets share, or for a pair below the bound, leaves a task. Words are numbered from frequent to rare; a set is a row of counts, with a column
+    for each frequent word and columns that rare words share, so the product of two rows is no less than what the sets have in common. Pairs whose
+    product reaches bound / (1 + bound) * (n + m), which the bound needs of sets of n and m words, are then counted word by word.
+    Sets are in order of their size, and parts of blocks whose sizes rule the bound out are passed over.
     """
+    spark = left.sparkSession
+    ship(spark)
+    kind = left.schema["id"].dataType.simpleString()
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD4), F.lit(0)))
-    side = lambda df, s: df.select(F.lit(s).alias("side"), F.col("id"), words.alias("words")).where(F.size("words") > 0)
+    side = lambda df, s: df.select(F.lit(s).alias("side"), F.col("id"), words.alias("words")).where("id is not null and size(words) > 0")
     sets = side(left, 0).unionByName(side(right, 1)).select("side", "id", F.explode("words").alias("word"))
-    known = sets.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "word").select("word", F.monotonically_increasing_id().alias("t"), F.ceil(F.col("n") / split).cast("int").alias("parts"))
+    known = sets.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").select("word", "n", F.monotonically_increasing_id().alias("t"))
     known = kept(known, "words")
-    coded = sets.join(known, "word").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("t", "parts"))).alias("set"))  # no longer than a text's words
-    coded = kept(coded.withColumn("n", F.size("set")), "sets")
-
-    longer = F.col("n") - F.ceil(above * F.col("n") - 1e-9).cast("int") + 1
-    first = coded.select("side", "id", "n", F.posexplode(F.slice("set", F.lit(1), longer)).alias("p", "w"))
-    salt = F.pmod(F.xxhash64("id"), F.col("w.parts")).cast("int")
-    x = first.where("side = 0").select(F.col("id").alias("src"), F.col("n").alias("n_src"), F.col("p").alias("p_src"), "w.t", salt.alias("salt"))
-    y = first.where("side = 1").select(F.col("id").alias("dst"), F.col("n").alias("n_dst"), F.col("p").alias("p_dst"), "w.t", F.explode(F.sequence(F.lit(0), F.col("w.parts") - 1)).alias("salt"))
-    least = F.floor(above / (1 + above) * (F.col("n_src") + F.col("n_dst")) - 1e-9) + 1
-    behind = F.least(F.col("n_src") - F.col("p_src"), F.col("n_dst") - F.col("p_dst")) - 1
-    shorter = lambda n: n - F.ceil(2 * above / (1 + above) * n - 1e-9) + 1
-    early = F.when(F.col("n_src") <= F.col("n_dst"), F.col("p_src") < shorter(F.col("n_src"))).otherwise(F.col("p_dst") < shorter(F.col("n_dst")))
-    alike = F.least("n_src", "n_dst") > above * F.greatest("n_src", "n_dst")
-    met = x.join(y, ["t", "salt"]).where((F.col("src") != F.col("dst")) & alike & early & (F.least("p_src", "p_dst") + 1 + behind >= least))
-    pairs = met.groupBy("src", "dst", "n_src", "n_dst").agg(F.count(F.lit(1)).alias("c"), F.max("p_src").alias("p_src"), F.max("p_dst").alias("p_dst")).where(F.col("c") + behind >= least)
-    numbers = lambda s, i, name: coded.where(F.col("side") == s).select(F.col("id").alias(i), F.col("set.t").alias(name))
-    both = pairs.join(numbers(0, "src", "a"), "src").join(numbers(1, "dst", "b"), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = both.select("src", "dst", (shared / (F.col("n_src") + F.col("n_dst") - shared)).alias("j")).where(F.col("j") > above)
-    return scored.select("src", "dst", F.lit(rel_type).alias("rel_type"), F.least("j", F.lit(cap)).alias("weight"))
+    part = F.shiftright("t", 33)
+    parts = known.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy("part").collect()  # a row for each partition of the sort
+    if not parts:
+        return left.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(rel_type).alias("rel_type"), F.lit(0.0).alias("weight")).limit(0)
+    before = np.cumsum([0, *(r.words for r in parts)]).tolist()
+    offset = F.create_map(*(F.lit(x) for r, at in zip(parts, before) for x in (r.part, at)))
+    number = known.select("word", (offset[part] + F.col("t").bitwiseAND((1 << 33) - 1)).cast("int").alias("t"))  # dense, from frequent to rare
+    blocks = max(1, -(-sum(r.n for r in parts) // (2 * split)))
+    vocabulary = before[-1]
+
+    def pack(group: pa.Table) -> pa.Table:
+        """Sets in order of their sizes: ids, sizes, and their words in order."""
+        id_, t = group.column("id").combine_chunks(), group.column("t").to_numpy()
+        coded = id_.dictionary_encode()
+        who = coded.indices.to_numpy()
+        n = np.bincount(who)
+        rank = np.argsort(n, kind="stable")
+        place = np.empty(len(n), np.int64)
+        place[rank] = np.arange(len(n))
+        order = np.lexsort((t, place[who]))
+        return pa.table({"block": group.column("block")[:1], "ids": pa.array([coded.dictionary.take(pa.array(rank)).to_pylist()], pa.list_(id_.type)), "n": [n[rank].astype(np.int32).tobytes()], "t": [t[order].astype(np.int32).tobytes()]})
+
+    coded = sets.join(number, "word").select("side", "id", "t", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    packed = [coded.where(F.col("side") == s).select("block", "id", "t").groupBy("block").applyInArrow(pack, f"block int, ids array<{kind}>, n binary, t binary") for s in (0, 1)]
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    x = kept(packed[0], "sets").withColumn("other", every)
+    y = kept(packed[1], "sets").select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("n").alias("n2"), F.col("t").alias("t2")).withColumn("block", every)
+
+    def rows(n: np.ndarray, t: np.ndarray, starts: np.ndarray, low: int, high: int) -> np.ndarray:
+        words = t[starts[low] : starts[high]]
+        column = np.where(words < OWN, words, OWN + words % SHARED)
+        size = vocabulary if vocabulary <= OWN else OWN + SHARED
+        flat = np.bincount(np.repeat(np.arange(high - low) * size, n[low:high]) + column, minlength=(high - low) * size)
+        return flat.astype(np.float32).reshape(high - low, size)
+
+    def each(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n, t, n2, t2 = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in ("n", "t", "n2", "t2"))
+                ids, ids2 = batch.column("ids")[row].values, batch.column("ids2")[row].values
+                starts, starts2 = (np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in (n, n2))
+                mark = np.zeros(vocabulary, bool)
+                for low in range(0, len(n), STEP):
+                    high, a = min(low + STEP, len(n)), None
+                    for low2 in range(0, len(n2), STEP):
+                        high2 = min(low2 + STEP, len(n2))
+                        if n[high - 1] <= above * n2[low2] or n2[high2 - 1] <= above * n[low]:
+                            continue
+                        a = rows(n, t, starts, low, high) if a is None else a
+                        need = above / (1 + above) * (n[low:high, None] + n2[None, low2:high2]) - 1e-6
+                        i, j = np.nonzero(a @ rows(n2, t2, starts2, low2, high2).T >= need)
+                        i, j = i + low, j + low2
+                        ends = np.flatnonzero(np.diff(i, append=-1)) + 1
+                        shared = np.zeros(len(i), np.int64)
+                        for first, last in zip([0, *ends[:-1]], ends):
+                            own = t[starts[i[first]] : starts[i[first] + 1]]
+                            mark[own] = True
+                            for at in range(first, last, 128):
+                                to = j[at : min(at + 128, last)]
+                                c = n2[to].astype(np.int64)
+                                words = t2[np.arange(c.sum()) + np.repeat(starts2[to] - (np.cumsum(c) - c), c)]
+                                shared[at : at + len(to)] = np.add.reduceat(mark[words].astype(np.int64), np.cumsum(c) - c)
+                            mark[own] = False
+                        score = shared / (n[i].astype(np.int64) + n2[j] - shared)
+                        ok = np.flatnonzero(score > above)
+                        if len(ok):
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[ok])), ids2.take(pa.array(j[ok])), pa.array(score[ok])], ["src", "dst", "j"])
+
+    met = x.join(y, ["block", "other"]).select("ids", "n", "t", "ids2", "n2", "t2")
+    found = met.mapInArrow(each, f"src {kind}, dst {kind}, j double").where("src <> dst")
+    return found.select("src", "dst", F.lit(rel_type).alias("rel_type"), F.least("j", F.lit(cap)).alias("weight"))
 
 
 def similarity_edges(vectors: DataFrame, threshold: float = 0.7, k: int = 49, factor: float = 0.6, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:

@@ -81,6 +81,24 @@ def test_relations(spark):
     assert sorted((r.src, r.dst, round(r.weight, 2)) for r in new.collect()) == [("a", "b", 0.9), ("b", "a", 0.6)]
 
 
+@pytest.mark.parametrize("own,shared,step", [(5, 3, 4), (50, 20, 7), (3072, 1024, 1024)])
+def test_word_overlap_joins_blocks_only(spark, monkeypatch, own, shared, step):
+    """One join, of blocks: no row for a word that two sets share. Columns that words share lose no pair."""
+    import random
+
+    for name, value in (("OWN", own), ("SHARED", shared), ("STEP", step)):
+        monkeypatch.setattr(relate, name, value)
+    r = random.Random(4)
+    texts = [(k, " ".join(f"word{int(60 * r.random() ** 2)}" for _ in range(r.randint(0, 30)))) for k in range(60)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    found = relate.word_overlap(df, df, 0.3, 1.0, split=200)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    sets = {k: set(t.split()) for k, t in texts}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a != b and x and y and len(x & y) / len(x | y) > 0.3}
+    assert {(q.src, q.dst): q.weight for q in found.collect()} == pytest.approx(want) and len(want) > 20
+
+
 @pytest.mark.parametrize("split", [1, 2, 20_000])
 def test_word_overlap_against_all_pairs(spark, split):
     import random
